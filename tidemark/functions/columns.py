@@ -94,4 +94,6 @@ def norm_cdf(z: Column | str) -> Column:
     z = col(z)
     x = F.least(F.abs(z), F.lit(37.0))
     tail = F.exp(-x * x / 2) * _horner(x, NORMAL_NUMERATOR) / _horner(x, NORMAL_DENOMINATOR)
-    return F.when(z > 0, 1 - tail).when(z <= 0, tail)
+    upper = z > 0
+    folded = F.when(upper, 1.0).otherwise(0.0) + F.when(upper, -1.0).otherwise(1.0) * tail
+    return F.when(z.isNotNull(), folded)
