@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import log_ratio
@@ -53,9 +53,9 @@ def tick_bars(
     )
 
 
-def with_day(df: DataFrame, time: str = "open_time") -> DataFrame:
+def with_day(df: DataFrame, time: str = "open_time", name: str = "date") -> DataFrame:
     """Add the calendar day; a row without a time belongs to none and is left out."""
-    return df.where(F.col(time).isNotNull()).withColumn("date", F.to_date(time))
+    return df.where(F.col(time).isNotNull()).withColumn(name, F.to_date(time))
 
 
 def log_returns(
@@ -68,7 +68,15 @@ def log_returns(
 ) -> DataFrame:
     """``log_ret = ln(close / previous close)``; NULL at the first bar of a series."""
     scanned = carry_scan(
-        with_day(bars, time), by, "date", [time, *ties],
+        with_day(bars, time, "_day"), by, "_day", [time, *ties],
         previous={"_prev": price}, segment_rows=segment_rows,
     )
-    return settle(scanned).withColumn("log_ret", log_ratio(price, "_prev")).drop("_prev", "date")
+    return settle(scanned).withColumn("log_ret", log_ratio(price, "_prev")).drop("_prev", "_day")
+
+
+def daily_log_returns(
+    daily: DataFrame, by: Sequence[str] = ("symbol",), day: str = "date", price: str = "close"
+) -> DataFrame:
+    """The same for one row per (series, day): few enough for a plain window."""
+    before = F.lag(price).over(Window.partitionBy(*by).orderBy(day))
+    return daily.withColumn("log_ret", log_ratio(F.col(price), before))

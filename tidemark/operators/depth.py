@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
+from ..schemas import BOOK, BOOK_LEVELS
 
 
 def _imbalance(bid: Column, ask: Column) -> Column:
@@ -38,8 +39,6 @@ def book_imbalance(
     Sums the quantities inside the row, so neither rows nor a shuffle arise; also runs on
     a stream without state.
     """
-    from ..sources.landing import BOOK_LEVELS, BOOK_SCHEMA
-
     depth = BOOK_LEVELS if levels is None else levels
 
     def quantity(quotes: str) -> Column:
@@ -49,7 +48,7 @@ def book_imbalance(
             lambda total, q: total + F.get(q, F.lit(1)).cast("double"),
         )
 
-    book = landed.withColumn("payload", F.from_json("payload", BOOK_SCHEMA))
+    book = landed.withColumn("payload", F.from_json("payload", BOOK))
     return book.select(
         *by, quantity("payload.bids").alias("bid_qty"), quantity("payload.asks").alias("ask_qty")
     ).withColumn("imbalance", _imbalance(F.col("bid_qty"), F.col("ask_qty")))

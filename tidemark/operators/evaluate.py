@@ -98,26 +98,6 @@ def bootstrap_means(
     )
 
 
-def _eliminate(models: list[str], mean: np.ndarray, boot: np.ndarray, alpha: float) -> pd.DataFrame:
-    """Sequential elimination on a (models x replicates) table of bootstrap means."""
-    left = list(range(len(models)))
-    out, p_so_far = [], 0.0
-    while len(left) > 1:
-        gap = mean[left] - mean[left].mean()
-        noise = boot[left] - mean[left][:, None]
-        noise = noise - noise.mean(axis=0)
-        sd = np.sqrt((noise**2).mean(axis=1))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            t = np.where(sd > 0, gap / sd, np.where(gap == 0, 0.0, np.sign(gap) * np.inf))
-            t_boot = np.where(sd[:, None] > 0, noise / sd[:, None], 0.0)
-        p_so_far = max(p_so_far, float((t_boot.max(axis=0) >= t.max()).mean()))
-        worst = left.pop(int(t.argmax()))
-        out.append((models[worst], mean[worst], p_so_far))
-    out.append((models[left[0]], mean[left[0]], 1.0))
-    frame = pd.DataFrame(out, columns=["model", "mean_loss", "p_value"])
-    return frame.assign(eliminated=range(1, len(out) + 1), in_set=frame["p_value"] >= alpha)
-
-
 def model_confidence_set(
     losses: DataFrame,
     by: Sequence[str] = ("symbol",),
@@ -143,13 +123,27 @@ def model_confidence_set(
     means = aligned.groupBy(*by, "model").agg(F.avg("loss").alias("mean_loss"))
     boot = bootstrap_means(aligned, by, replicates, block, seed).join(means, [*by, "model"])
 
+    # Nested, so that the workers need not have this package installed.
     def run(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         table = rows.pivot(index="model", columns="replicate", values="boot_mean").sort_index()
-        mean = rows.groupby("model")["mean_loss"].first().sort_index()
-        result = _eliminate(list(table.index), mean.to_numpy(), table.to_numpy(), alpha)
-        return pd.concat(
-            [pd.DataFrame({c: [k] * len(result) for c, k in zip(by, keys)}), result], axis=1
-        )
+        names, boot = list(table.index), table.to_numpy()
+        mean = rows.groupby("model")["mean_loss"].first().sort_index().to_numpy()
+        left, out, p_so_far = list(range(len(names))), [], 0.0
+        while len(left) > 1:
+            gap = mean[left] - mean[left].mean()
+            noise = boot[left] - mean[left][:, None]
+            noise = noise - noise.mean(axis=0)
+            sd = np.sqrt((noise**2).mean(axis=1))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                t = np.where(sd > 0, gap / sd, np.where(gap == 0, 0.0, np.sign(gap) * np.inf))
+                t_boot = np.where(sd[:, None] > 0, noise / sd[:, None], 0.0)
+            p_so_far = max(p_so_far, float((t_boot.max(axis=0) >= t.max()).mean()))
+            worst = left.pop(int(t.argmax()))
+            out.append((names[worst], mean[worst], p_so_far))
+        out.append((names[left[0]], mean[left[0]], 1.0))
+        result = pd.DataFrame(out, columns=["model", "mean_loss", "p_value"])
+        result = result.assign(eliminated=range(1, len(out) + 1), in_set=result["p_value"] >= alpha)
+        return pd.concat([pd.DataFrame({c: [k] * len(out) for c, k in zip(by, keys)}), result], axis=1)
 
     types = {f.name: f.dataType.simpleString() for f in losses.schema}
     schema = ", ".join(f"`{c}` {types[c]}" for c in by)

@@ -29,6 +29,9 @@ NEWS = (
     "asset string, published_at timestamp, source_name string, title string, description string, "
     "url string, author string"
 )
+# One landed order-book snapshot: [price, quantity] pairs as text, best quote first.
+BOOK = "struct<bids:array<array<string>>,asks:array<array<string>>>"
+BOOK_LEVELS = 20
 GKG = "DATE timestamp, V2Tone string, Themes string, SourceCommonName string"
 EQUITY_FEAR_GREED = "value double, value_classification string, date timestamp"
 CRYPTO_FEAR_GREED = (

@@ -15,9 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import epoch_ms, epoch_seconds, iso_time, tidy_name
-from ..operators.bars import log_returns
-
-BOOK_LEVELS = 20
+from ..operators.bars import daily_log_returns, log_returns
+from ..schemas import BOOK, BOOK_LEVELS
 
 
 def _parsed(landed: DataFrame, schema: str) -> DataFrame:
@@ -60,9 +59,6 @@ def agg_trades(landed: DataFrame, by: Sequence[str] = ("symbol",)) -> DataFrame:
     )
 
 
-BOOK_SCHEMA = "struct<bids:array<array<string>>,asks:array<array<string>>>"
-
-
 def depth(
     landed: DataFrame, by: Sequence[str] = ("symbol", "timestamp"), levels: int = BOOK_LEVELS
 ) -> DataFrame:
@@ -79,7 +75,7 @@ def depth(
             ),
         )
 
-    book = _parsed(landed, BOOK_SCHEMA)
+    book = _parsed(landed, BOOK)
     none = F.array().cast("array<struct<side:string,level:int,price:double,quantity:double>>")
     both = F.concat(
         F.coalesce(side("bid", F.col("payload.bids")), none),
@@ -126,10 +122,7 @@ def daily_ohlcv(vendor: DataFrame, by: Sequence[str] = ("ticker",), date: str =
     dated = named.withColumn(day, F.to_date(F.col(day)))
     if "close" not in tidy:
         return dated
-    # ``log_returns`` makes a day column of its own from the time it is given.
-    timed = dated.withColumn("_time", F.col(day).cast("timestamp")).drop(day)
-    returns = log_returns(timed, by, "_time")
-    return returns.withColumn(day, F.to_date("_time")).drop("_time")
+    return daily_log_returns(dated, by, day)
 
 
 def crypto_news(landed: DataFrame, currency: str = "currency") -> DataFrame:
