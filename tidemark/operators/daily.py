@@ -218,10 +218,14 @@ def realized_daily(
     ties: Sequence[str] = (),
     days_per_year: int = 365,
     segment_rows: int | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Daily realized measures with the heterogeneous-autoregressive lags."""
+    """Daily realized measures with the heterogeneous-autoregressive lags.
+
+    ``keep`` names further columns of ``daily_measures`` to hand through, like the close.
+    """
     daily = daily_measures(bars, by, time, ties, segment_rows)
-    return har_columns(daily.select(*by, "date", *realized_columns()), by, days_per_year)
+    return har_columns(daily.select(*by, "date", *keep, *realized_columns()), by, days_per_year)
 
 
 def micro_daily(

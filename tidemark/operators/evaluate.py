@@ -64,6 +64,7 @@ def bootstrap_means(
     Every replicate draws the same blocks of days for all models of a series. A block's
     start is a hash of (seed, series, replicate, block number), so a recomputed task draws
     the same. Block sums are prepared per start, and a draw is an equi-join on the start.
+    ``block`` must not exceed the number of days. ``mean_loss`` is handed through.
     """
     by = list(by)
     line = Window.partitionBy(*by, "model").orderBy("date")
@@ -77,12 +78,12 @@ def bootstrap_means(
     wrapped = F.filter(
         F.array("_at", F.col("_at") + F.col("_n")), lambda p: p < F.col("_n") + block - 1
     )
-    ring = numbered.select(*by, "model", "_n", "loss", F.explode(wrapped).alias("_at"))
+    ring = numbered.select(*by, "model", "mean_loss", "_n", "loss", F.explode(wrapped).alias("_at"))
     ahead = Window.partitionBy(*by, "model").orderBy("_at").rowsBetween(0, block - 1)
     sums = (
         ring.withColumn("_sum", F.sum("loss").over(ahead))
         .where(F.col("_at") < F.col("_n"))
-        .select(*by, "model", "_at", "_sum")
+        .select(*by, "model", "mean_loss", "_at", "_sum")
     )
     lengths = numbered.groupBy(*by).agg(F.max("_n").alias("_n"))
     draws = (
@@ -93,7 +94,7 @@ def bootstrap_means(
     )
     return (
         draws.join(sums, [*by, "_at"])
-        .groupBy(*by, "replicate", "model")
+        .groupBy(*by, "replicate", "model", "mean_loss")
         .agg((F.sum("_sum") / (F.max("_blocks") * block)).alias("boot_mean"))
     )
 
@@ -113,15 +114,19 @@ def model_confidence_set(
     table per series, whose size the parameters fix.
     """
     by = list(by)
-    panel = losses.where(F.col("loss").isNotNull()).select(*by, "model", "date", "loss")
-    models = panel.groupBy(*by).agg(F.count_distinct("model").alias("_models"))
-    full_days = (
-        panel.groupBy(*by, "date").agg(F.count(F.lit(1)).alias("_here"))
-        .join(models, by).where(F.col("_here") == F.col("_models")).select(*by, "date")
+    whole = Window.partitionBy(*by)
+    aligned = (
+        losses.where(F.col("loss").isNotNull()).select(*by, "model", "date", "loss")
+        .withColumns(
+            {
+                "_models": F.size(F.collect_set("model").over(whole)),
+                "_here": F.count(F.lit(1)).over(Window.partitionBy(*by, "date")),
+            }
+        )
+        .where(F.col("_here") == F.col("_models"))
+        .withColumn("mean_loss", F.avg("loss").over(Window.partitionBy(*by, "model")))
     )
-    aligned = panel.join(full_days, [*by, "date"])
-    means = aligned.groupBy(*by, "model").agg(F.avg("loss").alias("mean_loss"))
-    boot = bootstrap_means(aligned, by, replicates, block, seed).join(means, [*by, "model"])
+    boot = bootstrap_means(aligned, by, replicates, block, seed)
 
     # Nested, so that the workers need not have this package installed.
     def run(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:

@@ -6,7 +6,8 @@ bounded by the calendar.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,89 +23,101 @@ def _det(m: list[list[Column]]) -> Column:
     return a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g)
 
 
-def har_fit(
-    daily: DataFrame, by: Sequence[str] = ("symbol",), train_until: str | None = None
-) -> DataFrame:
-    """Least squares of log_RV on a constant and the three lags, one row per series.
+def _fit_terms(
+    fold: Callable[[Column], Column], train_until: str | None
+) -> tuple[dict[str, Column], dict[str, Column]]:
+    """The moments of the complete rows, and the coefficients in terms of those.
 
-    One aggregate collects the centred cross moments of the complete rows, which merge
-    exactly across partitions; the 3 x 3 system is then solved by Cramer's rule as plain
-    columns. A singular system gives NULL. ``train_until`` (a day, inclusive) keeps later
-    rows out of the fit.
+    ``fold`` makes an aggregate what the caller needs: a group's or a window's. Centred
+    moments merge exactly across partitions; the 3 x 3 normal equations are solved by
+    Cramer's rule as plain columns, and a singular system gives NULL.
     """
-    rows = daily.dropna("any", subset=[TARGET, *LAGS])
-    if train_until:
-        rows = rows.where(F.col("date") <= F.lit(train_until).cast("date"))
     names = (*LAGS, TARGET)
+    complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in names])
+    if train_until:
+        complete = complete & (F.col("date") <= F.lit(train_until).cast("date"))
+    x = {c: F.when(complete, F.col(c)) for c in names}
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    moments = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.avg(c).alias(f"_mean_{c}") for c in names],
-        *[F.covar_pop(a, b).alias(f"_cov_{a}_{b}") for a, b in pairs],
-    )
+    moments = {"n": fold(F.count(x[TARGET]))}
+    moments |= {f"_mean_{c}": fold(F.avg(x[c])) for c in names}
+    moments |= {f"_cov_{a}_{b}": fold(F.covar_pop(x[a], x[b])) for a, b in pairs}
 
     def cov(a: str, b: str) -> Column:
         return F.col(f"_cov_{a}_{b}" if (a, b) in pairs else f"_cov_{b}_{a}")
 
     system = [[cov(a, b) for b in LAGS] for a in LAGS]
     right = [cov(a, TARGET) for a in LAGS]
-    det = _det(system)
     slopes = {}
     for j, lag in enumerate(LAGS):
         swapped = [[right[i] if k == j else system[i][k] for k in range(3)] for i in range(3)]
-        slopes[f"b_{lag}"] = ratio(_det(swapped), det)
-    fitted = moments.withColumns(slopes)
+        slopes[f"b_{lag}"] = ratio(_det(swapped), _det(system))
     intercept, explained = F.col(f"_mean_{TARGET}"), F.lit(0.0)
     for lag in LAGS:
         intercept = intercept - F.col(f"b_{lag}") * F.col(f"_mean_{lag}")
         explained = explained + F.col(f"b_{lag}") * cov(lag, TARGET)
-    return fitted.select(
-        *by,
-        "n",
-        intercept.alias("b_0"),
-        *[f"b_{lag}" for lag in LAGS],
-        ratio(explained, cov(TARGET, TARGET)).alias("r2"),
+    return moments, {**slopes, "b_0": intercept, "r2": ratio(explained, cov(TARGET, TARGET))}
+
+
+COEFFICIENTS = ("n", "b_0", *[f"b_{lag}" for lag in LAGS], "r2")
+
+
+def _with_coefficients(df: DataFrame, coefficients: dict[str, Column]) -> DataFrame:
+    slopes = {k: v for k, v in coefficients.items() if k not in ("b_0", "r2")}
+    return df.withColumns(slopes).withColumns({k: coefficients[k] for k in ("b_0", "r2")})
+
+
+def _predicted(df: DataFrame) -> DataFrame:
+    log_rv = F.col("b_0")
+    for lag in LAGS:
+        log_rv = log_rv + F.col(f"b_{lag}") * F.col(lag)
+    return df.withColumn("pred_log_RV", log_rv).withColumns(
+        {"pred_RV": F.exp("pred_log_RV"), "resid": F.col(TARGET) - F.col("pred_log_RV")}
     )
 
 
+def har_fit(
+    daily: DataFrame, by: Sequence[str] = ("symbol",), train_until: str | None = None
+) -> DataFrame:
+    """Least squares of log_RV on a constant and the three lags, one row per series.
+
+    ``train_until`` (a day, inclusive) keeps later rows out of the fit.
+    """
+    moments, coefficients = _fit_terms(lambda c: c, train_until)
+    grouped = daily.groupBy(*by).agg(*[c.alias(name) for name, c in moments.items()])
+    return _with_coefficients(grouped, coefficients).select(*by, *COEFFICIENTS)
+
+
 def har_forecast(
-    daily: DataFrame, by: Sequence[str] = ("symbol",), fit: DataFrame | None = None
+    daily: DataFrame, by: Sequence[str] = ("symbol",), train_until: str | None = None
 ) -> DataFrame:
-    """Predicted log_RV and RV of each day from the lags known before it, and the residual."""
-    fit = har_fit(daily, by) if fit is None else fit
-    predicted = F.col("b_0")
-    for lag in LAGS:
-        predicted = predicted + F.col(f"b_{lag}") * F.col(lag)
-    coefficients = ["n", "b_0", *[f"b_{lag}" for lag in LAGS], "r2"]
-    return (
-        daily.join(fit, list(by), "left")
-        .withColumn("pred_log_RV", predicted)
-        .withColumn("pred_RV", F.exp("pred_log_RV"))
-        .withColumn("resid", F.col(TARGET) - F.col("pred_log_RV"))
-        .drop(*coefficients)
-    )
+    """Predicted log_RV and RV of each day from the lags known before it, and the residual.
+
+    The fit is a window aggregate over the series. The rows already lie together from
+    making the lags, so this adds neither a second pass over the data nor a join.
+    """
+    series = Window.partitionBy(*by)
+    moments, coefficients = _fit_terms(lambda c: c.over(series), train_until)
+    fitted = _with_coefficients(daily.withColumns(moments), coefficients)
+    return _predicted(fitted).drop(*moments, *COEFFICIENTS)
+
+
+def apply_fit(daily: DataFrame, fit: DataFrame, by: Sequence[str] = ("symbol",)) -> DataFrame:
+    """The same from coefficients that were fitted and stored before, such as on other days."""
+    return _predicted(daily.join(fit.select(*by, *COEFFICIENTS), list(by), "left")).drop(*COEFFICIENTS)
 
 
 def forecast_quantiles(
     forecasts: DataFrame,
     by: Sequence[str] = ("symbol",),
     probabilities: Sequence[float] = (0.1, 0.5, 0.9),
-    approximate: bool = False,
 ) -> DataFrame:
     """Forecast plus the series' residual percentiles: ``q10``, ``q50``, ``q90`` by default."""
-    percentile = F.percentile_approx if approximate else F.percentile
-    resid = forecasts.groupBy(*by).agg(
-        *[percentile("resid", F.lit(p)).alias(f"_q{p}") for p in probabilities]
-    )
+    series = Window.partitionBy(*by)
     bands = {
-        f"q{round(p * 100):02d}": F.col("pred_log_RV") + F.col(f"`_q{p}`") for p in probabilities
+        f"q{round(p * 100):02d}": F.col("pred_log_RV") + F.percentile("resid", F.lit(p)).over(series)
+        for p in probabilities
     }
-    return (
-        forecasts.where(F.col("pred_log_RV").isNotNull())
-        .join(resid, list(by), "left")
-        .withColumns(bands)
-        .drop(*[f"_q{p}" for p in probabilities])
-    )
+    return forecasts.withColumns(bands).where(F.col("pred_log_RV").isNotNull())
 
 
 def stress_regime(

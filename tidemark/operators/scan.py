@@ -65,19 +65,20 @@ def cut_days(
     )
     cuts = sampled.select(
         *by, day, F.filter("_keys", lambda _, i: (i + 1) % OVERSAMPLE == 0).alias("_cuts")
-    )
+    ).where(F.size("_cuts") > 0)
+    halvings = F.sequence(F.floor(F.log2(F.size("_cuts"))).cast("int"), F.lit(0), F.lit(-1))
+    steps = F.transform(halvings, lambda b: F.call_function("shiftleft", F.lit(1), b))
     return (
-        df.join(F.broadcast(cuts), [*by, day], "left")
-        .withColumn(SEGMENT, _count_at_or_below("_cuts", order_key(order)))
-        .drop("_cuts")
+        df.join(F.broadcast(cuts.withColumn("_steps", steps)), [*by, day], "left")
+        .withColumn(SEGMENT, _count_at_or_below("_cuts", "_steps", order_key(order)))
+        .drop("_cuts", "_steps")
     )
 
 
-def _count_at_or_below(cuts: str, key: Column) -> Column:
-    """How many of the sorted cut points are <= key, by bisection."""
-    steps = [1 << b for b in reversed(range((OVERSAMPLE * MAX_SEGMENTS).bit_length()))]
+def _count_at_or_below(cuts: str, steps: str, key: Column) -> Column:
+    """How many of the sorted cut points are <= key, by bisection in falling powers of two."""
     found = F.aggregate(
-        F.array(*map(F.lit, steps)),
+        steps,
         F.lit(0),
         lambda n, step: F.when(F.get(F.col(cuts), n + step - 1) <= key, n + step).otherwise(n),
     )

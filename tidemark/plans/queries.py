@@ -57,10 +57,10 @@ OHLCV = ("open", "high", "low", "close", "volume")
 TICK = {"time": "ts", "ties": ("tick_id",), "price": "price", "volume": "qty", "segment_rows": SEGMENT_ROWS}
 
 
-def _trade_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _trade_history(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     """Daily realized measures over years of trades."""
     trades = data.daily_ticks(spark, sf_dir)
-    return daily.realized_daily(trades, ties=data.DAILY_TICK_TIES, segment_rows=SEGMENT_ROWS)
+    return daily.realized_daily(trades, ties=data.DAILY_TICK_TIES, segment_rows=SEGMENT_ROWS, keep=keep)
 
 
 # Bars and returns
@@ -428,11 +428,10 @@ def confidence_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    closes = bars.daily_log_returns(data.daily_bars(spark, sf_dir)).select(
-        "symbol", "date", F.col("log_ret").alias("ret")
-    )
-    weighted = _forecasts(spark, sf_dir).withColumn("weight", sizing.position_size("pred_RV"))
-    return weighted.select("symbol", "date", "pred_RV", "weight").join(closes, ["symbol", "date"])
+    """Weights from the forecasts and the daily returns, both from one pass over the trades."""
+    returns = bars.daily_log_returns(_trade_history(spark, sf_dir, "close")).withColumnRenamed("log_ret", "ret")
+    forecasts = model.har_forecast(returns).where(F.col("pred_log_RV").isNotNull())
+    return forecasts.withColumn("weight", sizing.position_size("pred_RV"))
 
 
 @query

@@ -36,6 +36,8 @@ def local_session(cores: int = 8, app: str = "tidemark") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(cores))
+        # Recording the Python call site of every expression slows down building a plan.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in {**REQUIRED, **TUNING}.items():
         builder = builder.config(key, value)
