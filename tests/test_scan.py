@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.bars import log_returns, with_day
 from tidemark.operators.scan import SEGMENT, carry_scan, cut_days, settle
 from tidemark.plans import testdata
+from tidemark.sources import tables
 
 ORDER = ["open_time", *testdata.DAILY_TICK_TIES]
 
@@ -55,6 +56,22 @@ def test_segments_follow_the_order_and_stay_small(spark, sf_dir):
     assert falls.count() == 0
 
 
+def test_copies_can_be_cut_by_their_position(spark, sf_dir, tmp_path):
+    """A third of the rows are copies of one trade."""
+    trades = testdata.daily_ticks(spark, sf_dir)
+    copies = trades.limit(1).withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(3000)))).drop("_n")
+    trades.unionByName(copies).repartition(3).write.parquet(f"{tmp_path}/trades")
+    stored = tables.with_row_position(spark.read.parquet(f"{tmp_path}/trades"))
+    order = [*ORDER, *tables.ROW_POSITION]
+    cut = cut_days(with_day(stored), ["symbol"], "date", order, 200)
+    sizes = [r["count"] for r in cut.groupBy("symbol", "date", SEGMENT).count().collect()]
+    assert max(sizes) <= 600 and sum(sizes) == 9000
+    running = {"n": F.lit(1).cast("bigint")}
+    numbered = carry_scan(with_day(stored), ["symbol"], "date", order, running=running, segment_rows=200)
+    ends = numbered.groupBy("symbol").agg(F.count_distinct("n").alias("k"), F.max("n").alias("m"), F.count("*").alias("c"))
+    assert all(r["k"] == r["m"] == r["c"] for r in ends.collect())
+
+
 def test_small_days_are_left_alone(spark, sf_dir):
     cut = cut_days(with_day(testdata.daily_ticks(spark, sf_dir)), ["symbol"], "date", ORDER)
     assert cut.select(SEGMENT).distinct().collect() == [(0,)]

@@ -220,7 +220,7 @@ def panic_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def doc_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = data.table(spark, sf_dir, "documents")
+    docs = tables.spread(data.table(spark, sf_dir, "documents"))
     return shown(docs.select("doc_id", F.col("source").alias("asset"), "text").withColumns(
         news.sentiment_columns()
     ), "doc_id", "asset", "pos", "neg", "score")
@@ -228,7 +228,7 @@ def doc_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sentiment_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = data.table(spark, sf_dir, "documents").select(
+    docs = tables.spread(data.table(spark, sf_dir, "documents")).select(
         F.col("source").alias("asset"),
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")).alias("date"),
         "text",

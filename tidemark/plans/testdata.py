@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.bars import tick_bars
 from ..session import pin
+from ..sources.tables import spread
 
 DAILY_TICK_TIES = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
@@ -123,7 +124,7 @@ def _ms(c: str) -> Column:
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").withColumn("k", _k())
+    return spread(table(spark, sf_dir, "events")).withColumn("k", _k())
 
 
 def _text(*cols: Column) -> Column:
@@ -157,7 +158,7 @@ def landed_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def landed_books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_books(table(spark, sf_dir, "events"))
+    return as_books(spread(table(spark, sf_dir, "events")))
 
 
 def as_books(events: DataFrame) -> DataFrame:

@@ -69,3 +69,29 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ("symbol
     keys = [c for c in partition_by if c in df.columns]
     writer = df.hint("rebalance", *keys).write.mode("overwrite")
     (writer.partitionBy(*keys) if keys else writer).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out where the work per row is heavy and the scan has too few tasks.
+
+    A file with one row group is read by one task, whatever its rows then cost. Large
+    tables have more splits than there are cores and pass through untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+# Names of the tie-breakers that ``with_row_position`` adds.
+ROW_POSITION = ("_file", "_row")
+
+
+def with_row_position(scan: DataFrame) -> DataFrame:
+    """Add where each row is stored, as a last tie-breaker for ordered jobs.
+
+    Exact copies of a row have no order of their own. With the position in ``ties`` they
+    get one that every recomputation repeats, and a day full of copies can still be cut.
+    Takes a frame straight from a Parquet scan.
+    """
+    return scan.select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")
+    )
