@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 from datetime import date, timedelta
@@ -116,17 +117,15 @@ def test_confidence_set(spark):
     got = {r["model"]: r for r in evaluate.model_confidence_set(losses, replicates=reps, block=block, seed=4).collect()}
 
     blocks = -(-n // block)
-    draws = spark.range(reps * blocks).select(
-        (F.col("id") / blocks).cast("int").alias("replicate"), (F.col("id") % blocks).alias("b")
-    )
-    starts = draws.select(
-        "replicate", F.pmod(F.xxhash64(F.lit(4), F.lit("s"), "replicate", "b"), F.lit(n).cast("bigint")).alias("at")
-    ).collect()
+    starts = [
+        (r, int(hashlib.md5(f"4|s|{r}|{b}".encode()).hexdigest()[:12], 16) % n)
+        for r in range(reps) for b in range(blocks)
+    ]
     means = {m: sum(x) / n for m, x in table.items()}
     boot = {m: [0.0] * reps for m in table}
-    for r in starts:
+    for r, at in starts:
         for m, x in table.items():
-            boot[m][r["replicate"]] += sum(x[(r["at"] + j) % n] for j in range(block)) / (blocks * block)
+            boot[m][r] += sum(x[(at + j) % n] for j in range(block)) / (blocks * block)
     left, p, order = sorted(table), 0.0, []
     while len(left) > 1:
         level = sum(means[m] for m in left) / len(left)

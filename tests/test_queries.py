@@ -10,8 +10,7 @@ QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
 
 
 def test_each_oracle_has_a_query():
-    assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"confidence_set"}
+    assert set(ORACLES) == set(QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -59,44 +59,51 @@ def diebold_mariano(
 def bootstrap_means(
     losses: DataFrame, by: Sequence[str], replicates: int, block: int, seed: int
 ) -> DataFrame:
-    """Means of each model's losses under a circular block bootstrap.
-
-    Every replicate draws the same blocks of days for all models of a series. A block's
-    start is a hash of (seed, series, replicate, block number), so a recomputed task draws
-    the same. Block sums are prepared per start, and a draw is an equi-join on the start.
-    ``block`` must not exceed the number of days. ``mean_loss`` is handed through.
+    """Each model's mean loss and ``boot``, its means under a circular block bootstrap.
+
+    All models of a series see the same blocks of days. A block's start comes from a
+    digest of (seed, series, replicate, block number), so a recomputed task, or another
+    program, draws the same. The sums of the blocks that start on each day are windows;
+    a model's sums are then gathered into one row. That is one value per calendar day, so
+    the array is bounded, and the draws need neither a join nor a shuffle of their own.
+    ``block`` must not exceed the number of days.
     """
     by = list(by)
-    line = Window.partitionBy(*by, "model").orderBy("date")
+    line = Window.partitionBy(*by, "model")
     numbered = losses.withColumns(
-        {
-            "_at": (F.row_number().over(line) - 1).cast("bigint"),
-            "_n": F.count(F.lit(1)).over(Window.partitionBy(*by, "model")),
-        }
+        {"_at": F.row_number().over(line.orderBy("date")) - 1, "_n": F.count(F.lit(1)).over(line)}
     )
     # The first rows appear again after the last ones: blocks wrap around.
-    wrapped = F.filter(
-        F.array("_at", F.col("_at") + F.col("_n")), lambda p: p < F.col("_n") + block - 1
+    places = F.array(F.col("_at").cast("bigint"), F.col("_at") + F.col("_n"))
+    ring = numbered.withColumn(
+        "_at", F.explode(F.filter(places, lambda at: at < F.col("_n") + block - 1))
     )
-    ring = numbered.select(*by, "model", "mean_loss", "_n", "loss", F.explode(wrapped).alias("_at"))
-    ahead = Window.partitionBy(*by, "model").orderBy("_at").rowsBetween(0, block - 1)
-    sums = (
+    ahead = line.orderBy("_at").rowsBetween(0, block - 1)
+    lines = (
         ring.withColumn("_sum", F.sum("loss").over(ahead))
         .where(F.col("_at") < F.col("_n"))
-        .select(*by, "model", "mean_loss", "_at", "_sum")
-    )
-    lengths = numbered.groupBy(*by).agg(F.max("_n").alias("_n"))
-    draws = (
-        lengths.withColumn("_blocks", F.ceil(F.col("_n") / block))
-        .withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-        .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)))
-        .withColumn("_at", F.pmod(F.xxhash64(F.lit(seed), *by, "replicate", "_block"), F.col("_n")))
-    )
-    return (
-        draws.join(sums, [*by, "_at"])
-        .groupBy(*by, "replicate", "model", "mean_loss")
-        .agg((F.sum("_sum") / (F.max("_blocks") * block)).alias("boot_mean"))
+        .groupBy(*by, "model")
+        .agg(
+            F.avg("loss").alias("mean_loss"),
+            F.transform(
+                F.sort_array(F.collect_list(F.struct("_at", "_sum"))), lambda x: x["_sum"]
+            ).alias("_sums"),
+        )
     )
+    n = F.size("_sums")
+    blocks = F.ceil(n / block).cast("int")
+
+    def replicate_mean(r: Column) -> Column:
+        def drawn(b: Column) -> Column:
+            text = F.concat_ws("|", F.lit(str(seed)), *by, r.cast("string"), b.cast("string"))
+            number = F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("bigint")
+            return F.get("_sums", (number % n).cast("int"))
+
+        numbers = F.sequence(F.lit(0), blocks - 1)
+        return F.aggregate(numbers, F.lit(0.0), lambda total, b: total + drawn(b)) / (blocks * block)
+
+    boot = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), replicate_mean)
+    return lines.select(*by, "model", "mean_loss", boot.alias("boot"))
 
 
 def model_confidence_set(
@@ -124,15 +131,13 @@ def model_confidence_set(
             }
         )
         .where(F.col("_here") == F.col("_models"))
-        .withColumn("mean_loss", F.avg("loss").over(Window.partitionBy(*by, "model")))
     )
     boot = bootstrap_means(aligned, by, replicates, block, seed)
 
     # Nested, so that the workers need not have this package installed.
     def run(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        table = rows.pivot(index="model", columns="replicate", values="boot_mean").sort_index()
-        names, boot = list(table.index), table.to_numpy()
-        mean = rows.groupby("model")["mean_loss"].first().sort_index().to_numpy()
+        rows = rows.sort_values("model")
+        names, mean, boot = list(rows["model"]), rows["mean_loss"].to_numpy(), np.stack(rows["boot"])
         left, out, p_so_far = list(range(len(names))), [], 0.0
         while len(left) > 1:
             gap = mean[left] - mean[left].mean()

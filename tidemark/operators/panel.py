@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -66,25 +66,29 @@ def asof_panel(
 ) -> DataFrame:
     """Attach market-wide series to a daily spine: the latest value on or before the day.
 
-    The lookup is solved once per distinct day and series. Those are calendar days, so
-    the filled table stays small however many symbols the spine has, and it then joins
-    the spine on the day alone.
+    Each observation is spread over the days on which it is the latest, which makes a
+    table of one row per calendar day however large the spine is. The spine is read once
+    and joins that table on the day; days past its end look up its last one.
     """
-    wanted = (
-        spine.select(day).distinct()
-        .withColumn("series", F.explode(F.array(*map(F.lit, ids))))
-        .withColumn("_wanted", F.lit(True))
-    )
-    observed = long.where(F.col("value").isNotNull() & F.col("series").isin(*ids)).select(
-        day, "series", "value"
-    )
-    both = (
-        wanted.unionByName(observed, allowMissingColumns=True)
+    observed = (
+        long.where(F.col("value").isNotNull() & F.col("series").isin(*ids))
         .groupBy("series", day)
-        .agg(F.first("value", ignorenulls=True).alias("value"), F.max("_wanted").alias("_wanted"))
+        .agg(F.first("value").alias("value"))
+    )
+    ordered = Window.partitionBy("series").orderBy(day)
+    until = F.date_sub(F.lead(day).over(ordered), 1)
+    if max_age_days is None:
+        end = observed.agg(F.max(day)).scalar()
+        until = F.coalesce(until, end)
+        at = F.least(F.col(day), end)
+    else:
+        until = F.least(until, F.date_add(day, max_age_days))
+        at = F.col(day)
+    spread = observed.withColumn("_until", until).select(
+        "series", "value", F.explode(F.sequence(day, "_until")).alias("_at")
     )
-    filled = _latest(both, ["series"], day, "value", max_age_days).where("_wanted")
-    return spine.join(outer_panel(filled, ids, day), day, "left")
+    wide = outer_panel(spread, ids, "_at")
+    return spine.withColumn("_at", at).join(wide, "_at", "left").drop("_at")
 
 
 def asof_daily(
@@ -110,18 +114,12 @@ def asof_daily(
             F.first(value, ignorenulls=True).alias(value),
         )
     )
-    return _latest(both, by, day, value, max_age_days).where("_wanted").drop("_wanted")
-
-
-def _latest(
-    rows: DataFrame, by: Sequence[str], day: str, value: str, max_age_days: int | None
-) -> DataFrame:
     series = Window.partitionBy(*by).orderBy(day)
-    latest: Column = F.last(value, ignorenulls=True).over(series)
+    latest = F.last(value, ignorenulls=True).over(series)
     if max_age_days is not None:
         seen = F.last(F.when(F.col(value).isNotNull(), F.col(day)), ignorenulls=True).over(series)
         latest = F.when(F.datediff(day, seen) <= max_age_days, latest)
-    return rows.withColumn(value, latest)
+    return both.withColumn(value, latest).where("_wanted").drop("_wanted")
 
 
 def term_structure(closes: DataFrame) -> DataFrame:

@@ -522,6 +522,52 @@ oracle(
 )
 
 
+# The confidence set: draws from the same digests, the elimination as one step per model.
+_MODELS, _REPLICATES, _BLOCK = ("har", "last", "week", "month"), 200, 20
+_PREDICTED = dict(zip(_MODELS, ("pred_log_RV", "RV_d", "RV_w", "RV_m")))
+CTE["losses"] = " union all ".join(
+    f"select symbol, date, '{m}' as model, pow(log_RV - {p}, 2) as loss from forecasts where log_RV is not null "
+    for m, p in _PREDICTED.items()
+)
+CTE["places"] = """
+  select *, row_number() over (partition by symbol, model order by date) - 1 as at,
+         count(*) over (partition by symbol, model) as n from losses """
+CTE["draws"] = f"""
+  select symbol, n, r, cast('0x' || substr(md5(concat('1|', symbol, '|', r, '|', b)), 1, 12) as bigint) % n as start
+  from (select symbol, n, r, unnest(range(cast(ceil(n / {_BLOCK}) as bigint))) as b
+        from (select distinct symbol, n, unnest(range({_REPLICATES})) as r from places))"""
+CTE["boots"] = f"""
+  select d.symbol, d.r, p.model, sum(p.loss) / (ceil(d.n / {_BLOCK}) * {_BLOCK}) as boot
+  from (select symbol, n, r, (start + unnest(range({_BLOCK}))) % n as at, n as size from draws) d
+  join places p on p.symbol = d.symbol and p.at = d.at group by d.symbol, d.r, d.n, p.model"""
+CTE["left1"] = "select symbol, model, avg(loss) as mean from losses group by symbol, model"
+for _k in range(1, len(_MODELS)):
+    CTE[f"noise{_k}"] = f"""
+  select *, e - avg(e) over (partition by symbol, r) as z
+  from (select b.symbol, b.r, b.model, b.boot - l.mean as e from boots b join left{_k} l using (symbol, model))"""
+    CTE[f"score{_k}"] = f"""
+  select symbol, model, sd, mean, (mean - avg(mean) over (partition by symbol)) / sd as t
+  from left{_k} join (select symbol, model, sqrt(avg(z * z)) as sd from noise{_k} group by all) using (symbol, model)"""
+    CTE[f"worst{_k}"] = f"select symbol, arg_max(model, t) as model, max(t) as top from score{_k} group by symbol"
+    CTE[f"step{_k}"] = f"""
+  select symbol, w.model, avg(case when high >= top then 1.0 else 0.0 end) as p
+  from (select symbol, r, max(z / sd) as high from noise{_k} join score{_k} using (symbol, model) group by symbol, r)
+  join worst{_k} w using (symbol) group by symbol, w.model"""
+    CTE[f"left{_k + 1}"] = f"select l.* from left{_k} l anti join worst{_k} w on l.symbol = w.symbol and l.model = w.model"
+_STEPS = " union all ".join(
+    [f"select symbol, model, p, {k} as eliminated from step{k} " for k in range(1, len(_MODELS))]
+    + [f"select symbol, model, 1.0 as p, {len(_MODELS)} as eliminated from left{len(_MODELS)} "]
+)
+oracle(
+    "confidence_set",
+    f"""select *, p_value >= 0.05 as in_set from (
+         select s.symbol, s.model, l.mean as mean_loss, eliminated,
+                max(p) over (partition by s.symbol order by eliminated) as p_value
+         from ({_STEPS}) s join left1 l on l.symbol = s.symbol and l.model = s.model)""",
+    symbol=EXACT, model=EXACT, eliminated=INT, in_set=INT, **_num("mean_loss", "p_value"),
+)
+
+
 def _dm(diff: str, horizon: int) -> str:
     lags = "".join(
         f", lag(e, {k}) over (partition by symbol order by date) as e{k}" for k in range(1, horizon)

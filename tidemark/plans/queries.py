@@ -320,7 +320,7 @@ def crypto_fear_greed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_bars_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars written by symbol and read back with a declared schema and a time range."""
     path = shared_folder(spark, "bars")
-    tables.write_table(data.hourly_bars(spark, sf_dir), path)
+    tables.write_table(data.hourly_bars(spark, sf_dir), path, time="open_time")
     stored = tables.read_table(
         spark, path, "symbol string, open_time timestamp, close double, volume double",
         "open_time", "2024-01-10 00:00:00", "2024-01-20 00:00:00",

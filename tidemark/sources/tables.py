@@ -60,14 +60,20 @@ def read_table(
     return df.withColumns({c: known(c) for c in floats}) if floats else df
 
 
-def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ("symbol",)) -> None:
+def write_table(
+    df: DataFrame, path: str, partition_by: Sequence[str] = ("symbol",), time: str | None = None
+) -> None:
     """Overwrite a Parquet table, one folder per series.
 
     The rebalance hint gathers a series' rows into few files, and lets adaptive
-    execution split a series that is too large for one task.
+    execution split a series that is too large for one task. With ``time`` the rows of a
+    file are in time order, so that a time range skips row groups by their statistics.
     """
     keys = [c for c in partition_by if c in df.columns]
-    writer = df.hint("rebalance", *keys).write.mode("overwrite")
+    gathered = df.hint("rebalance", *keys)
+    if time:
+        gathered = gathered.sortWithinPartitions(*keys, time)
+    writer = gathered.write.mode("overwrite")
     (writer.partitionBy(*keys) if keys else writer).parquet(path)
 
 
