@@ -13,7 +13,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-IN_JVM = sorted(set(QUERIES) - {"confidence_set", "stored_bars_range", "stream_bars", "stream_book_imbalance"})
+IN_JVM = sorted(set(QUERIES) - {"confidence_set", "stored_bars_range", "stream_bars", "stream_book_imbalance", "stream_vpin"})
 # These end in one row per dataset or column, so their last step is one small task.
 ONE_ROW = {"profile_table", "quality_report", "schema_bad_cells"}
 

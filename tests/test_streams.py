@@ -2,10 +2,13 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from tests.checkers import close_to
+from tidemark.operators import vpin
 from tidemark.operators.bars import tick_bars
 from tidemark.operators.depth import depth_imbalance
 from tidemark.plans import testdata
 from tidemark.streaming import jobs
+from tidemark.streaming.vpin import stream_vpin
 
 TICKS = "symbol string, ts timestamp, tick_id bigint, price double, qty double"
 
@@ -50,3 +53,25 @@ def test_book_stream_is_stateless(spark, sf_dir, tmp_path):
     stream = jobs.stream_book_imbalance(spark.readStream.schema(books.schema).parquet(f"{tmp_path}/landed"))
     jobs.drain_to_parquet(stream, f"{tmp_path}/out", f"{tmp_path}/state")
     assert spark.read.parquet(f"{tmp_path}/out").count() == books.count()
+
+
+def test_vpin_stream_equals_batch(spark, sf_dir, tmp_path):
+    """Ticks to bars to buckets, landing in three parts; the open bucket stays open."""
+    bars = testdata.hourly_bars(spark, sf_dir).select("symbol", "open_time", "close", "volume")
+    schema, landed = bars.schema, f"{tmp_path}/landed"
+    bounds = ("2024-01-01", "2024-01-09", "2024-01-10", "2024-02-01")
+    for start, end in zip(bounds, bounds[1:]):
+        part = bars.where((F.col("open_time") >= start) & (F.col("open_time") < end))
+        part.coalesce(2).write.mode("append").parquet(landed)
+        stream = stream_vpin(jobs.file_stream(spark, landed, schema), 60.0)
+        jobs.drain_to_parquet(stream, f"{tmp_path}/out", f"{tmp_path}/state")
+    got = {(r["symbol"], r["bucket"]): r for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    batch = vpin.bucket_vpin(vpin.volume_buckets(bars, v_star=60.0)).collect()
+    last = {s: max(r["bucket"] for r in batch if r["symbol"] == s) for s in {r["symbol"] for r in batch}}
+    want = {(r["symbol"], r["bucket"]): r for r in batch if r["bucket"] != last[r["symbol"]]}
+    assert set(got) == set(want) and len(got) > 500
+    for k, w in want.items():
+        assert got[k]["timestamp"] == w["timestamp"]
+        for c in ("dP", "V_total", "sigma_dP", "V_buy", "V_sell", "VPIN"):
+            assert close_to(got[k][c], w[c], 1e-8), (k, c)
+    assert any(r["VPIN"] is not None for r in got.values())

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import norm_cdf, ratio, zero_to
+from ..session import stored
 from .bars import with_day
 from .panel import day_spine
 from .scan import carry_scan, settle, trailing_blocks
@@ -90,9 +91,10 @@ def bucket_vpin(
 
     With the sample's own bucket size a series has about 50 buckets a day, so one task
     holds a series with ease. A given, small ``v_star`` may yield many more: ``many``
-    then splits the series into overlapping blocks of bucket rows.
+    then stores the buckets and splits each series into overlapping blocks of them.
     """
     if many:
+        buckets = stored(buckets, "buckets")
         numbered = settle(
             carry_scan(
                 with_day(buckets, "timestamp"), by, "date", ["bucket"],

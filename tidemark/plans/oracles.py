@@ -614,9 +614,16 @@ oracle(
        from trades_rv h join panel p on p.date = h.date and p.series = '1-URGENT'""",
     **_KEY, **_num("dvol_close", "RV_ann", "vrp"),
 )
+CTE["closed_bars"] = """
+  select * from bars where open_time + interval 1 hour <= (select max(ts) - interval 10 minutes from events)"""
+CTE |= _vpin("cv", "closed_bars", "open_time", "", "close", "volume", "500.0")
+oracle(
+    "stream_vpin",
+    """select * from cv_scored s where bucket < (select max(bucket) from cv_scored l where l.symbol = s.symbol)""",
+    symbol=EXACT, bucket=INT, timestamp=TIME, **_num("dP", "V_total", "sigma_dP", "V_buy", "V_sell", "VPIN"),
+)
 oracle(
     "stream_bars",
-    """select *, '1 hour' as interval from bars
-       where open_time + interval 1 hour <= (select max(ts) - interval 10 minutes from events)""",
+    "select *, '1 hour' as interval from closed_bars ",
     **_BAR, interval=EXACT,
 )

@@ -18,6 +18,7 @@ from ..operators.scan import SEGMENT_ROWS
 from ..session import shared_folder
 from ..sources import landing, tables
 from ..streaming import jobs
+from ..streaming import vpin as stream
 from . import testdata as data
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -480,17 +481,28 @@ def _tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars from a file stream: every hour that the watermark has closed."""
-    stream = jobs.stream_bars(_tick_stream(spark, sf_dir), "1 hour", "10 minutes", order=["ts", "tick_id"])
+    closed = jobs.stream_bars(_tick_stream(spark, sf_dir), "1 hour", "10 minutes", order=["ts", "tick_id"])
     out = shared_folder(spark, "stream-bars")
-    jobs.drain_to_parquet(stream, f"{out}/data", f"{out}/checkpoint")
-    return shown(spark.read.schema(stream.schema).parquet(f"{out}/data"), exact=OHLCV)
+    jobs.drain_to_parquet(closed, f"{out}/data", f"{out}/checkpoint")
+    return shown(spark.read.schema(closed.schema).parquet(f"{out}/data"), exact=OHLCV)
 
 
 @query
 def stream_book_imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = data.table(spark, sf_dir, "events").schema
     landed = spark.readStream.schema(events).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    stream = jobs.stream_book_imbalance(data.as_books(landed))
+    imbalance = jobs.stream_book_imbalance(data.as_books(landed))
     out = shared_folder(spark, "stream-books")
-    jobs.drain_to_parquet(stream, f"{out}/data", f"{out}/checkpoint")
-    return shown(spark.read.schema(stream.schema).parquet(f"{out}/data"))
+    jobs.drain_to_parquet(imbalance, f"{out}/data", f"{out}/checkpoint")
+    return shown(spark.read.schema(imbalance.schema).parquet(f"{out}/data"))
+
+
+@query
+def stream_vpin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two chained streams: ticks to closed bars, and those to volume buckets."""
+    bar_stream = jobs.stream_bars(_tick_stream(spark, sf_dir), "1 hour", "10 minutes", order=["ts", "tick_id"])
+    out = shared_folder(spark, "stream-vpin")
+    jobs.drain_to_parquet(bar_stream, f"{out}/bars", f"{out}/bars-checkpoint")
+    buckets = stream.stream_vpin(jobs.file_stream(spark, f"{out}/bars", bar_stream.schema), 500.0)
+    jobs.drain_to_parquet(buckets, f"{out}/buckets", f"{out}/buckets-checkpoint")
+    return shown(spark.read.schema(buckets.schema).parquet(f"{out}/buckets"))

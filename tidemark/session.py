@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Results depend on these two; everything else is tuning and is left to the cluster.
 REQUIRED = {
@@ -58,3 +58,14 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
         root = tempfile.mkdtemp(prefix="tidemark-")
     return f"{root.rstrip('/')}/tidemark/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Write an intermediate result to the shared folder and go on from there.
+
+    For a frame that several later steps read: it is computed once, and a lost executor
+    costs a file read instead of the whole lineage.
+    """
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
