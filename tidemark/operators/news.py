@@ -20,7 +20,7 @@ def _any_like(c: str, patterns: Sequence[str]) -> Column:
 
 
 def event_news_daily(gkg: DataFrame, since: str | None = None, until: str | None = None) -> DataFrame:
-    """Per day: events, mean tone, share of negative tone, crisis and crypto themes, sources.
+    """Per day, in order: events, mean tone, share of negative tone, crisis and crypto themes, sources.
 
     Both bounds are days and inclusive. They are applied to the stored time, not to a day
     computed from it, so the scan can skip. A missing or malformed tone counts in the
@@ -32,7 +32,7 @@ def event_news_daily(gkg: DataFrame, since: str | None = None, until: str | None
     if until:
         gkg = gkg.where(when < F.date_add(F.lit(until).cast("date"), 1).cast("timestamp"))
     tone = F.get(F.split("V2Tone", ","), F.lit(0)).try_cast("double")
-    return gkg.groupBy(F.to_date(when).alias("date")).agg(
+    by_day = gkg.groupBy(F.to_date(when).alias("date")).agg(
         F.count(F.lit(1)).alias("event_count"),
         F.avg(tone).alias("avg_tone"),
         (F.count_if(tone < 0) / F.count(F.lit(1))).alias("negative_share"),
@@ -40,6 +40,7 @@ def event_news_daily(gkg: DataFrame, since: str | None = None, until: str | None
         F.count_if(_any_like("Themes", CRYPTO_THEMES)).alias("crypto_count"),
         F.count_distinct("SourceCommonName").alias("source_diversity"),
     )
+    return by_day.orderBy("date")
 
 
 # A small default lexicon; pass your own for real work.
