@@ -15,7 +15,7 @@ from tidemark.session import local_session
 
 HEADLINE = (
     "bars_hourly", "log_returns", "rv_daily", "har_features", "tick_micro_daily", "obi_daily", "liquidity_daily",
-    "vpin_buckets", "vpin_daily", "equity_daily_rv", "macro_ffill", "asof_features", "gkg_daily",
+    "vpin_buckets", "vpin_daily", "vpin_trades_daily", "equity_daily_rv", "macro_ffill", "asof_features", "gkg_daily",
     "depth_imbalance", "har_forecast", "dm_test", "doc_sentiment", "profile_table",
 )
 

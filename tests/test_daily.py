@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.checkers import close_to, daily_loop, har_loop
-from tidemark.operators import daily
+from tidemark.operators import daily, vpin
 from tidemark.plans import testdata
 
 SCHEMA = "symbol string, open_time timestamp, open double, high double, low double, close double, volume double"
@@ -141,3 +141,12 @@ def test_daily_bar_form(spark):
     assert got[1]["vol_ann"] is None and got[1]["log_RV"] is None
     assert got[2]["vol_ann"] == pytest.approx(math.sqrt(0.0324 * 252))
     assert got[2]["PK"] == pytest.approx(math.log(11 / 9) ** 2 / (4 * math.log(2)))
+
+
+def test_empty_input_gives_typed_empty_output(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    for segment_rows in (None, 100):
+        features = daily.daily_features(empty, segment_rows=segment_rows)
+        assert features.count() == 0 and dict(features.dtypes)["RV"] == "double"
+        scores = vpin.vpin_daily(empty, segment_rows=segment_rows)
+        assert scores.count() == 0 and scores.dtypes == [("symbol", "string"), ("date", "date"), ("VPIN", "double")]

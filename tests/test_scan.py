@@ -72,6 +72,14 @@ def test_copies_can_be_cut_by_their_position(spark, sf_dir, tmp_path):
     assert all(r["k"] == r["m"] == r["c"] for r in ends.collect())
 
 
+def test_unnamed_series_is_cut_too(spark, sf_dir):
+    unnamed = _hot(spark, sf_dir).withColumn("symbol", F.nullif("symbol", F.lit("N")))
+    cut = cut_days(with_day(unnamed), ["symbol"], "date", ORDER, 100)
+    sizes = [r["count"] for r in cut.groupBy("symbol", "date", SEGMENT).count().collect()]
+    assert max(sizes) <= 300 and sum(sizes) == 6000
+    assert cut.where("symbol is null").agg(F.max(SEGMENT)).first()[0] > 10
+
+
 def test_small_days_are_left_alone(spark, sf_dir):
     cut = cut_days(with_day(testdata.daily_ticks(spark, sf_dir)), ["symbol"], "date", ORDER)
     assert cut.select(SEGMENT).distinct().collect() == [(0,)]

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -55,23 +56,33 @@ def cut_days(
 
     # At most total / limit <= MAX_SEGMENTS days are that large, and about
     # OVERSAMPLE * MAX_SEGMENTS keys are sampled: both fit a broadcast by construction.
-    large = days.where(F.col("_n") > limit).select(*by, day)
+    # The joins are null-safe, as a missing series name may be the largest series.
+    large = days.where(F.col("_n") > limit)
     sampled = (
-        df.select(*by, day, *order)
-        .join(F.broadcast(large), [*by, day], "left_semi")
+        df.select(*by, day, *[c for c in order if c not in by])
+        .join(*_on(large, [*by, day], []), "left_semi")
         .where(F.pmod(F.xxhash64(*order), F.lit(max(limit // OVERSAMPLE, 1))) == 0)
         .groupBy(*by, day)
         .agg(F.sort_array(F.collect_set(order_key(order))).alias("_keys"))
     )
-    cuts = sampled.select(
-        *by, day, F.filter("_keys", lambda _, i: (i + 1) % OVERSAMPLE == 0).alias("_cuts")
+    cuts = sampled.withColumn(
+        "_cuts", F.filter("_keys", lambda _, i: (i + 1) % OVERSAMPLE == 0)
     ).where(F.size("_cuts") > 0)
     halvings = F.sequence(F.floor(F.log2(F.size("_cuts"))).cast("int"), F.lit(0), F.lit(-1))
     steps = F.transform(halvings, lambda b: F.call_function("shiftleft", F.lit(1), b))
+    cuts = cuts.withColumn("_steps", steps)
     return (
-        df.join(F.broadcast(cuts.withColumn("_steps", steps)), [*by, day], "left")
+        df.join(*_on(cuts, [*by, day], ["_cuts", "_steps"]), "left")
         .withColumn(SEGMENT, _count_at_or_below("_cuts", "_steps", order_key(order)))
-        .drop("_cuts", "_steps")
+        .select(*df.columns, SEGMENT)
+    )
+
+
+def _on(small: DataFrame, keys: Sequence[str], values: Sequence[str]) -> tuple[DataFrame, Column]:
+    """The small side of a null-safe equi-join, with its keys renamed, and the condition."""
+    named = small.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *values)
+    return F.broadcast(named), reduce(
+        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
     )
 
 

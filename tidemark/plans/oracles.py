@@ -162,6 +162,7 @@ def _vpin(
 
 CTE |= _vpin("tv", "ticks", "ts", ", tick_id", "price", "qty")
 CTE |= _vpin("sv", "ticks", "ts", ", tick_id", "price", "qty", "150.0", signed=True)
+CTE |= _vpin("lv", "trades", "open_time", f", {_TIES}", "close", "volume")
 CTE |= _vpin("bv", "bars", "open_time", "", "close", "volume")
 
 CTE["fit_rows"] = """
@@ -287,6 +288,7 @@ oracle(
 )
 oracle("vpin_daily", "select * from tv_daily ", **_KEY, VPIN=NUM)
 oracle("vpin_bars_daily", "select * from bv_daily ", **_KEY, VPIN=NUM)
+oracle("vpin_trades_daily", "select * from lv_daily ", **_KEY, VPIN=NUM)
 oracle("vpin_signed_daily", "select * from sv_daily ", **_KEY, VPIN=NUM)
 
 _WIDE = ", ".join(f"max(case when series = '{s}' then value end) as \"{s}\"" for s in PANEL_IDS)

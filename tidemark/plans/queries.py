@@ -134,6 +134,13 @@ def vpin_bars_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(vpin.vpin_daily(data.hourly_bars(spark, sf_dir)))
 
 
+@query
+def vpin_trades_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VPIN over years of trades."""
+    trades = data.daily_ticks(spark, sf_dir)
+    return shown(vpin.vpin_daily(trades, ties=data.DAILY_TICK_TIES, segment_rows=SEGMENT_ROWS))
+
+
 @query
 def vpin_signed_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """VPIN with the trades' own side and a given, causal bucket size."""
