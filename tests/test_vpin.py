@@ -49,13 +49,12 @@ def test_given_bucket_size_in_blocks(spark):
     series = {"A": walk(7, 4000, 3), "B": walk(8, 900, 3)}
     buckets = vpin.volume_buckets(frame(spark, series), v_star=20.0, **TICK)
     whole = vpin.bucket_vpin(buckets)
-    blocks = vpin.bucket_vpin(buckets, many=True, block_rows=320)
-    key = ["symbol", "bucket"]
-    a = {tuple(r[k] for k in key): r for r in whole.collect()}
-    b = {tuple(r[k] for k in key): r for r in blocks.collect()}
-    assert set(a) == set(b) and len(a) == blocks.count() > 700
-    for k in a:
-        assert close_to(a[k]["VPIN"], b[k]["VPIN"]) and close_to(a[k]["sigma_dP"], b[k]["sigma_dP"])
+    a = {(r["symbol"], r["bucket"]): r for r in whole.collect()}
+    for blocks in (vpin.bucket_vpin(buckets, many=m, block_rows=320) for m in (False, True)):
+        b = {(r["symbol"], r["bucket"]): r for r in blocks.collect()}
+        assert set(a) == set(b) and len(a) == blocks.count() > 700
+        for k in a:
+            assert close_to(a[k]["VPIN"], b[k]["VPIN"]) and close_to(a[k]["sigma_dP"], b[k]["sigma_dP"])
     daily = {r["date"]: r["VPIN"] for r in vpin.vpin_daily(frame(spark, series), v_star=20.0, **TICK)
              .where("symbol = 'A'").collect()}
     for d, v in vpin_loop(series["A"], 20.0).items():

@@ -16,7 +16,7 @@ from ..functions.columns import norm_cdf, ratio, zero_to
 from ..session import stored
 from .bars import with_day
 from .panel import day_spine
-from .scan import carry_scan, settle, trailing_blocks
+from .scan import SEGMENT_ROWS, carry_scan, settle, trailing_blocks
 
 # Fixed values of the measure.
 BUCKETS_PER_DAY = 50
@@ -85,32 +85,33 @@ def bucket_vpin(
     by: Sequence[str] = ("symbol",),
     signed_trades: bool = False,
     many: bool = False,
-    block_rows: int = 1_000_000,
+    block_rows: int = 20_000,
 ) -> DataFrame:
     """Add sigma, buying and selling volume and VPIN to each bucket.
 
-    With the sample's own bucket size a series has about 50 buckets a day, so one task
-    holds a series with ease. A given, small ``v_star`` may yield many more: ``many``
-    then stores the buckets and splits each series into overlapping blocks of them.
+    Buckets are numbered and split into overlapping blocks, so the rolling windows of a
+    long series run in parallel. With the sample's own bucket size a series has about 50
+    buckets a day, and one task numbers them with ease. A given, small ``v_star`` may
+    yield as many as there are rows: ``many`` then stores the buckets and numbers them
+    with an ordered scan.
     """
     if many:
-        buckets = stored(buckets, "buckets")
-        numbered = settle(
-            carry_scan(
-                with_day(buckets, "timestamp"), by, "date", ["bucket"],
-                running={"_row": F.lit(1).cast("bigint")}, segment_rows=block_rows,
-            )
-        ).drop("date")
-        reach = SIGMA_ROWS + BUCKETS_PER_DAY
-        frame, series, own = trailing_blocks(numbered, by, "_row", reach, max(block_rows, reach))
+        dated = with_day(stored(buckets, "buckets"), "timestamp")
+        one = F.lit(1).cast("bigint")
+        scanned = carry_scan(dated, by, "date", ["bucket"], running={"_row": one}, segment_rows=SEGMENT_ROWS)
+        numbered = settle(scanned).drop("date")
     else:
-        frame, series, own = buckets, Window.partitionBy(*by).orderBy("bucket"), None
+        line = Window.partitionBy(*by).orderBy("bucket")
+        numbered = buckets.withColumn("_row", F.row_number().over(line).cast("bigint"))
+    reach = SIGMA_ROWS + BUCKETS_PER_DAY
+    frame, series, own = trailing_blocks(numbered, by, "_row", reach, max(block_rows, reach))
 
     if signed_trades:
         bought = F.col("V_taker")
     else:
+        # A step of its own: a window expression used twice would be computed twice.
         sigma = F.stddev_samp("dP").over(series.rowsBetween(1 - SIGMA_ROWS, 0))
-        frame = frame.withColumn("sigma_dP", zero_to(sigma, SIGMA_FLOOR))
+        frame = frame.withColumn("sigma_dP", sigma).withColumn("sigma_dP", zero_to("sigma_dP", SIGMA_FLOOR))
         bought = F.col("V_total") * norm_cdf(F.col("dP") / F.col("sigma_dP"))
     frame = frame.withColumn("V_buy", bought).withColumn("V_sell", F.col("V_total") - F.col("V_buy"))
     last = series.rowsBetween(1 - BUCKETS_PER_DAY, 0)
@@ -119,8 +120,7 @@ def bucket_vpin(
         F.count(imbalance).over(last) == BUCKETS_PER_DAY,
         F.sum(imbalance).over(last) / (BUCKETS_PER_DAY * F.col("V_star")),
     )
-    scored = frame.withColumn("VPIN", vpin)
-    return scored if own is None else scored.where(own).drop("_block", "_row")
+    return frame.withColumn("VPIN", vpin).where(own).drop("_block", "_row")
 
 
 def vpin_daily(
