@@ -39,10 +39,6 @@ def or_zero(c: Column | str) -> Column:
     return F.coalesce(col(c), F.lit(0.0))
 
 
-def zero_to_null(c: Column | str) -> Column:
-    return F.nullif(col(c), F.lit(0.0))
-
-
 def zero_to(c: Column | str, value: float) -> Column:
     c = col(c)
     return F.when(c == 0, F.lit(value)).otherwise(c)
