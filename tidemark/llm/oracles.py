@@ -3,6 +3,24 @@
 from __future__ import annotations
 
 ORACLES: dict[str, str] = {
+    "op4_chat": r"""
+        with c as (
+            select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as t from conversations
+            union all select -7, 0, 'user', '</s>[INST] ok [/INST]'
+            union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ), e as (
+            select *, regexp_replace(t, '([<\[])(\\*)(\|[A-Za-z0-9_]*\|>|/?s>|/?SYS>>|/?INST\])', '\1\2\\\3', 'g') as et,
+                   regexp_replace(role, '([<\[])(\\*)(\|[A-Za-z0-9_]*\|>|/?s>|/?SYS>>|/?INST\])', '\1\2\\\3', 'g') as er
+            from c
+        )
+        select conv_id,
+               count(*) as n_turns,
+               sha256(string_agg(role || chr(10) || t || chr(10), '' order by turn nulls first, role, et)) as turns_sha256,
+               coalesce(sum(length(t)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+               sha256(coalesce(string_agg(t, '' order by turn nulls first, role, et) filter (role = 'assistant'), '')) as loss_sha256,
+               sum(23 + length(er) + length(et))::bigint as formatted_chars
+        from e group by conv_id
+    """,
     "op5_exact_dedup": """
         with d as (select doc_id, coalesce(text, '') as t from documents)
         select doc_id,
