@@ -226,17 +226,25 @@ def duplicate_groups(
     return digests, stored(grouped(digests).where("n > 1").drop("key"), "groups")
 
 
+def survivors(rows: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Those of ``rows`` that stay according to ``groups``, with all their columns; of repeated rows one."""
+    keep = groups.select(
+        F.col("digest").alias("_exact_digest"), F.col("doc_id").alias("_exact_keep"), F.col("n_keep").alias("_exact_n_keep")
+    )
+    marked = rows.withColumn("_exact_digest", sha256(whole(text_col))).join(keep, "_exact_digest", "left")
+    stay = F.col("_exact_n_keep").isNull() | name(id_col).cast("bigint").eqNullSafe(F.col("_exact_keep"))
+    again = F.coalesce(F.col("_exact_n_keep") > 1, F.lit(False))
+    return once(marked.where(stay), again, "_exact_digest").select(*[name(c) for c in rows.columns])
+
+
 def deduplicated(
     docs: DataFrame, snapshot: Snapshot | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The rows of a batch that stay, with all their columns.
+    """The rows of a batch that stay. Rows equal to a text in the snapshot go as well, unless their id is the largest."""
+    return survivors(docs, duplicate_groups(docs, snapshot, id_col, text_col)[1], id_col, text_col)
 
-    Rows equal to a text in the snapshot go as well, unless their id is the largest.
-    """
-    _, groups = duplicate_groups(docs, snapshot, id_col, text_col)
-    keep = groups.select(
-        F.col("digest").alias("_exact_digest"), F.col("doc_id").alias("_exact_keep"), F.col("n_keep").alias("_exact_n_keep")
-    )
-    rows = docs.withColumn("_exact_digest", sha256(whole(text_col))).join(keep, "_exact_digest", "left")
-    rows = rows.where(F.col("_exact_n_keep").isNull() | name(id_col).cast("bigint").eqNullSafe(F.col("_exact_keep")))
-    return once(rows, F.coalesce(F.col("_exact_n_keep") > 1, F.lit(False)), "_exact_digest").select(*[name(c) for c in docs.columns])
+
+def deduplicated_with(docs: DataFrame, early: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of a table that stay, its ``early`` ones taken as the snapshot and the others as a batch."""
+    snapshot = take_snapshot(docs.where(early), id_col, text_col)
+    return survivors(docs, duplicate_groups(docs.where(~early), snapshot, id_col, text_col)[1], id_col, text_col)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import pin
-from . import bpe, chat, exact_dedup, licences, simhash, token_counts, toxicity
+from . import bpe, chat, decontaminate, exact_dedup, licences, lm_score, simhash, token_counts, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -118,6 +118,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("digest")
+
+
 @query
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counter = token_counts.read_counter(public_tokenizers.path("byte_bpe_50k.json"))
@@ -127,3 +132,24 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+# Documents of quality 1 that stand for the target: at most so many labelled ids, by hash.
+TARGET_IDS = 20_000
+
+
+@query
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_IDS).withColumn("target", F.lit(True))
+    marked = docs.join(F.broadcast(good), "doc_id", "left")  # 20,000 ids at most
+    models = lm_score.fit(marked, F.col("target"))
+    return lm_score.scored(docs, models, keep=["doc_id"])
+
+
+@query
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    rules = url_filter.mined(pages, table(spark, sf_dir, "labels"))
+    return url_filter.judged(pages, rules).drop("url")

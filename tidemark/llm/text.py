@@ -70,3 +70,12 @@ def once(rows: DataFrame, repeated: Column, *keys: str) -> DataFrame:
     if rows.where(repeated).select(F.lit(1)).isEmpty():
         return rows
     return rows.where(~repeated).unionByName(rows.where(repeated).dropDuplicates(list(keys)))
+
+
+def if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """For the narrow side of a join: broadcast after its rows have been counted, else left to a shuffle.
+
+    Takes a stored frame of a few plain columns, so 100,000 rows are a few MB. Both ways
+    give the same rows.
+    """
+    return F.broadcast(df) if df.count() <= rows else df
