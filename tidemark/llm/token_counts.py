@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import json
 import re
+from copy import copy
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -56,13 +57,19 @@ class Transducer:
         self.ranks = {pair: i for i, pair in enumerate(merges)}
         self.tokens = {bytes([b]) for b in range(256)} | {a + b for a, b in merges}
         self.prefixes = {t[:i] for t in self.tokens for i in range(1, len(t) + 1)}
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.clear()
 
     def __reduce__(self):
         return Transducer, (self.merges,)
 
+    def fresh(self) -> Transducer:
+        """The same tables with nothing compiled: for one task, so that its memory goes with it."""
+        other = copy(self)
+        other.clear()
+        return other
+
     def clear(self) -> None:
+        self.pairs: dict[tuple[bytes | None, bytes], bool] = {}
         # A state: the suffix, and (last token, count relative to now) at each position in it, the start included.
         self.ids = {(b"", ((None, 0),)): 0}
         self.states = [(b"", ((None, 0),))]
@@ -237,7 +244,8 @@ def counted(docs: DataFrame, counter: Counter, text_col: str = "text", keep=None
     shared = docs.sparkSession.sparkContext.broadcast(counter)
 
     def make():
-        count = shared.value.count
+        c = shared.value
+        count = Counter(c.transducer.fresh(), c.pattern, c.specials).count
 
         def work(texts: pa.Array) -> list[pa.Array]:
             rows = texts.to_pylist()
