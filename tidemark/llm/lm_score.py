@@ -145,19 +145,21 @@ def fit(
     word /= word.sum(axis=1, keepdims=True)
 
     pairs = stored(pair_counts(docs, target, vocabulary, text_col), "lm-pairs")
-    contexts = pairs.groupBy(F.expr(f"pair div {size}L").alias("first")).agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).toPandas()
+    contexts = pairs.groupBy(F.expr(f"pair div {size}L").alias("first")).agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).toArrow()
     least = max(MIN_PAIR, threshold(pairs, max_pairs))
-    kept = pairs.where(F.col("n") >= least).orderBy("pair").toPandas()
-    context = np.zeros((2, size))
-    context[:, contexts["first"].to_numpy(np.int64)] = contexts[["n", "n_target"]].to_numpy(np.float64).T
-    keys = kept["pair"].to_numpy(np.int64)
-    first, second = keys // size, keys % size
-    over = np.maximum(kept[["n", "n_target"]].to_numpy(np.float64).T - DISCOUNT, 0)
-    spent = np.stack([np.bincount(first, o, size) for o in over])
-    left = np.where(context > 0, 1 - spent / np.maximum(context, 1), 1.0)
-    with np.errstate(divide="ignore"):
-        share = np.where(context[:, first] > 0, over / np.maximum(context[:, first], 1), 0.0)
-        seen = np.log(share + left[:, first] * word[:, second])
+    kept = pairs.where(F.col("n") >= least).orderBy("pair").toArrow()  # at most max_pairs rows of three numbers
+    keys = kept["pair"].to_numpy()
+    first, second = (keys // size).astype(np.int32), (keys % size).astype(np.int32)
+    seen, left = np.empty((2, len(keys)), np.float32), np.ones((2, size))
+    for k, c in enumerate(("n", "n_target")):  # one model after the other: the driver holds few arrays at once
+        context = np.zeros(size)
+        context[contexts["first"].to_numpy()] = contexts[c].to_numpy()
+        share = kept[c].to_numpy().astype(np.float64)
+        np.maximum(share - DISCOUNT, 0, out=share)
+        share /= np.maximum(context, 1)[first]
+        left[k] -= np.bincount(first, share, size)
+        share += left[k][first] * word[k][second]
+        seen[k] = np.log(share)
     return Models(vocabulary, keys, seen, np.log(left), np.log(word))
 
 
