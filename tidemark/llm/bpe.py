@@ -34,7 +34,7 @@ from .text import appended, name, whole
 
 LEAF_BYTES = 24  # shorter strings are merged directly
 LEAF_IDS = 1024  # ids that decoding joins at once
-CACHE = 1 << 18  # encoded strings of a kind that a task remembers
+CACHE = 1 << 17  # encoded strings of a kind that a task remembers
 # White space before a blank and none but white space after it: the run belongs together.
 UNSAFE = re.compile(r"[\s\x1c-\x1f\x85\xa0] (?:[\s\x1c-\x1f\x85\xa0]|$)").search
 NONE = 1 << 60  # no rank

@@ -13,6 +13,10 @@ from pyspark.sql import types as T
 # The words of most operators: runs of ASCII letters and digits and of everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+# Rows of whole texts that travel to Python at once, and that are worked on at once: a few MB.
+ARROW_ROWS = 2000
+WORK_ROWS = 500
+
 
 def name(column: str) -> Column:
     return F.col(f"`{column}`")
@@ -46,7 +50,9 @@ def appended(
     ``make`` runs once in a task; its function gets a batch of texts and returns one
     array for each column of ``outputs``. A kept column of the same name is replaced.
     The kept columns travel in one struct, so no name of theirs can clash on the way.
+    The session's Arrow batches are made small enough for texts.
     """
+    small_batches(df)
     made = T.StructType.fromDDL(outputs)
     taken = {f.name.lower() for f in made}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in taken]
@@ -56,12 +62,21 @@ def appended(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), *work(batch.column(1))], names=names)
+            for at in range(0, batch.num_rows, WORK_ROWS):
+                part = batch.slice(at, WORK_ROWS)
+                yield pa.RecordBatch.from_arrays([part.column(0), *work(part.column(1))], names=names)
 
     out = slim.mapInArrow(run, T.StructType([slim.schema["kept"], *made.fields]))
     return out.select(*[F.col("kept")[c].alias(c) for c in kept], *[name(c) for c in made.names])
 
 
+def small_batches(df: DataFrame) -> None:
+    """Let Arrow batches hold no more rows than suits whole texts; a smaller setting stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= ARROW_ROWS:
+        conf.set(key, str(ARROW_ROWS))
+
+
 def once(rows: DataFrame, repeated: Column, *keys: str) -> DataFrame:
     """Rows as they are, but of those marked ``repeated`` only one for each value of ``keys``.
 

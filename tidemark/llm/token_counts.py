@@ -33,7 +33,7 @@ from .text import appended, whole
 
 CHUNK = 1 << 14  # characters to a state map
 STATES = 1 << 18  # compiled states that a task holds before it starts anew
-CACHE = 1 << 18
+CACHE = 1 << 17
 # The pretokenizer's pattern of byte-level vocabularies: a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPACE = r"\s\x1c-\x1f\x85\xa0"
