@@ -6,11 +6,13 @@ import pytest
 
 import __spark_entry__ as contract
 
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+from tidemark.plans.oracles import ORACLES
+from tidemark.plans.queries import QUERIES
 
 
 def test_each_oracle_has_a_query():
     assert set(ORACLES) == set(QUERIES)
+    assert set(QUERIES) <= set(contract.queries()) and set(contract.oracle_sql()) <= set(contract.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

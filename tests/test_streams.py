@@ -8,7 +8,7 @@ from tidemark.operators.bars import tick_bars
 from tidemark.operators.depth import depth_imbalance
 from tidemark.plans import testdata
 from tidemark.streaming import jobs
-from tidemark.streaming.vpin import stream_vpin
+from tidemark.streaming.vpin import drain_vpin, read_buckets
 
 TICKS = "symbol string, ts timestamp, tick_id bigint, price double, qty double"
 
@@ -55,23 +55,34 @@ def test_book_stream_is_stateless(spark, sf_dir, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == books.count()
 
 
+def _drained(spark, rows, folder, parts, partitions):
+    """Buckets of hourly bars that land in ``parts`` portions and are written by ``partitions`` tasks."""
+    schema, before = rows.schema, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        bounds = ["2024-01-01", *[f"2024-01-{d:02}" for d in parts], "2024-02-01"]
+        for start, end in zip(bounds, bounds[1:]):
+            part = rows.where((F.col("open_time") >= start) & (F.col("open_time") < end))
+            part.repartition(partitions).write.mode("append").parquet(f"{folder}/landed")
+            drain_vpin(jobs.file_stream(spark, f"{folder}/landed", schema), folder, f"{folder}/checkpoint", 60.0)
+        return {(r["symbol"], r["bucket"]): r for r in read_buckets(spark, folder).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_vpin_stream_equals_batch(spark, sf_dir, tmp_path):
-    """Ticks to bars to buckets, landing in three parts; the open bucket stays open."""
-    bars = testdata.hourly_bars(spark, sf_dir).select("symbol", "open_time", "close", "volume")
-    schema, landed = bars.schema, f"{tmp_path}/landed"
-    bounds = ("2024-01-01", "2024-01-09", "2024-01-10", "2024-02-01")
-    for start, end in zip(bounds, bounds[1:]):
-        part = bars.where((F.col("open_time") >= start) & (F.col("open_time") < end))
-        part.coalesce(2).write.mode("append").parquet(landed)
-        stream = stream_vpin(jobs.file_stream(spark, landed, schema), 60.0)
-        jobs.drain_to_parquet(stream, f"{tmp_path}/out", f"{tmp_path}/state")
-    got = {(r["symbol"], r["bucket"]): r for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    batch = vpin.bucket_vpin(vpin.volume_buckets(bars, v_star=60.0)).collect()
+    """In one portion and in three, few and many partitions, with missing volumes; the open bucket stays open."""
+    hourly = testdata.hourly_bars(spark, sf_dir).select("symbol", "open_time", "close", "volume")
+    hourly = hourly.withColumn("volume", F.when(F.hour("open_time") != 5, F.col("volume"))).cache()
+    one = _drained(spark, hourly, f"{tmp_path}/one", (), 3)
+    three = _drained(spark, hourly, f"{tmp_path}/three", (9, 10), 20)
+    batch = vpin.bucket_vpin(vpin.volume_buckets(hourly, v_star=60.0)).collect()
     last = {s: max(r["bucket"] for r in batch if r["symbol"] == s) for s in {r["symbol"] for r in batch}}
     want = {(r["symbol"], r["bucket"]): r for r in batch if r["bucket"] != last[r["symbol"]]}
-    assert set(got) == set(want) and len(got) > 500
-    for k, w in want.items():
-        assert got[k]["timestamp"] == w["timestamp"]
-        for c in ("dP", "V_total", "sigma_dP", "V_buy", "V_sell", "VPIN"):
-            assert close_to(got[k][c], w[c], 1e-8), (k, c)
-    assert any(r["VPIN"] is not None for r in got.values())
+    for got in (one, three):
+        assert set(got) == set(want) and len(got) > 500
+        for k, w in want.items():
+            assert got[k]["timestamp"] == w["timestamp"]
+            for c in ("dP", "V_total", "sigma_dP", "V_buy", "V_sell", "VPIN"):
+                assert close_to(got[k][c], w[c], 1e-8), (k, c)
+        assert any(r["VPIN"] is not None for r in got.values())

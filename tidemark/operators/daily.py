@@ -85,6 +85,7 @@ def _reduce_segments(rows: DataFrame, by: Sequence[str], order: Sequence[str]) -
         or_zero(F.sum(r * r * r)).alias("r3"),
         or_zero(F.sum(r * r * r * r)).alias("r4"),
         or_zero(F.sum(F.abs(r) / (volume + EPS))).alias("illiq"),
+        F.count(volume).alias("illiq_n"),
         or_zero(F.sum(F.abs(r) * F.abs(q))).alias("bipower"),
         F.count(q).alias("pairs"),
         or_zero(F.avg(paired)).alias("mean_x"),
@@ -135,7 +136,7 @@ def _merge_segments(segments: DataFrame, by: Sequence[str]) -> DataFrame:
             "r2": F.col("r2") + r0 * r0,
             "r3": F.col("r3") + r0 * r0 * r0,
             "r4": F.col("r4") + r0 * r0 * r0 * r0,
-            "illiq": F.col("illiq") + F.abs(r0) / (F.col("first_volume") + EPS),
+            "illiq": F.col("illiq") + or_zero(F.abs(r0) / (F.col("first_volume") + EPS)),
             "_seam": F.lag(F.coalesce("final_r", r0)).over(day.orderBy(SEGMENT)),
         }
     )
@@ -172,10 +173,10 @@ def _merge_segments(segments: DataFrame, by: Sequence[str]) -> DataFrame:
         F.sum("bipower").alias("bipower"),
         F.when(F.sum("n") > 2, comoment / F.greatest(F.sum("pairs") - 1, F.lit(1)))
         .otherwise(F.lit(0.0)).alias("autocov"),
-        (F.sum("illiq") / F.sum("n")).alias("illiq"),
+        ratio(F.sum("illiq"), F.sum("illiq_n")).alias("illiq"),
         F.max("_mo").alias("obi_mean"),
         ratio(F.sum("obi_sq"), obi_n).alias("obi_sq"),
-        F.sqrt(F.greatest(ratio(obi_spread, obi_n), F.lit(0.0))).alias("obi_std"),
+        F.when(obi_n > 0, F.sqrt(F.greatest(ratio(obi_spread, obi_n), F.lit(0.0)))).alias("obi_std"),
         ratio(F.sum("obi_abs"), obi_n).alias("obi_abs"),
     )
 

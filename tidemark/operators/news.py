@@ -58,10 +58,10 @@ def sentiment_columns(
 ) -> dict[str, Column]:
     """Word hits in the whole text and the score (pos - neg) / (pos + neg + 1).
 
-    Words are the runs of letters a-z of the lower-cased text. The words of a text are
+    Words are the runs of letters of the lower-cased text, in any script. The words of a text are
     tested against the lexicon in place: no explode and no shuffle.
     """
-    words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z]+")
+    words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}]+")
 
     def hits(lexicon: Sequence[str]) -> Column:
         return F.size(F.filter(words, lambda w: w.isin(*lexicon))).cast("bigint")

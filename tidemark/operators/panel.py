@@ -32,9 +32,10 @@ def outer_panel(
     """n series outer-joined on the time key, one column each.
 
     A pivot over a stated list: one shuffle for all series, folded before it, instead
-    of one join per series. A series that delivered nothing still has its column.
+    of one join per series. A series that delivered nothing still has its column; of
+    several values for one key the largest counts, so reruns agree.
     """
-    return long.groupBy(key).pivot(series, list(ids)).agg(F.first(value, ignorenulls=True))
+    return long.groupBy(key).pivot(series, list(ids)).agg(F.max(value))
 
 
 def complete_panel(long: DataFrame, ids: Sequence[str], **names: str) -> DataFrame:
@@ -73,7 +74,7 @@ def asof_panel(
     observed = (
         long.where(F.col("value").isNotNull() & F.col("series").isin(*ids))
         .groupBy("series", day)
-        .agg(F.first("value").alias("value"))
+        .agg(F.max("value").alias("value"))
     )
     ordered = Window.partitionBy("series").orderBy(day)
     until = F.date_sub(F.lead(day).over(ordered), 1)

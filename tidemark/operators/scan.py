@@ -11,7 +11,6 @@ broadcast, and the data itself is shuffled once, on (series, day, segment).
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -23,8 +22,9 @@ IS_ROW = "_is_row"
 
 # One task sorts this many rows comfortably, and spills beyond.
 SEGMENT_ROWS = 4_000_000
-# Upper bound for the cut points of all days together: about 2.5 MB to broadcast.
-MAX_SEGMENTS = 50_000
+# Up to so many cut points of all days together are broadcast: about 2.5 MB for plain keys.
+# More of them, in a far larger table, are joined by a shuffle; segments never grow.
+BROADCAST_CUTS = 50_000
 # Sampled keys per kept cut point; more give more even segments.
 OVERSAMPLE = 8
 
@@ -50,17 +50,17 @@ def cut_days(
     """
     days = df.groupBy(*by, day).agg(F.count(F.lit(1)).alias("_n"))
     total, largest = days.agg(F.sum("_n"), F.max("_n")).first()
-    limit = max(rows, math.ceil((total or 0) / MAX_SEGMENTS))
+    limit = rows
+    few = (total or 0) / limit <= BROADCAST_CUTS
     if (largest or 0) <= limit:
         return df.withColumn(SEGMENT, F.lit(0))
 
-    # At most total / limit <= MAX_SEGMENTS days are that large, and about
-    # OVERSAMPLE * MAX_SEGMENTS keys are sampled: both fit a broadcast by construction.
-    # The joins are null-safe, as a missing series name may be the largest series.
+    # At most total / limit days are that large, and about OVERSAMPLE times as many keys
+    # are sampled. The joins are null-safe, as a missing series name may be the largest series.
     large = days.where(F.col("_n") > limit)
     sampled = (
         df.select(*by, day, *[c for c in order if c not in by])
-        .join(*_on(large, [*by, day], []), "left_semi")
+        .join(*_on(large, [*by, day], [], few), "left_semi")
         .where(F.pmod(F.xxhash64(*order), F.lit(max(limit // OVERSAMPLE, 1))) == 0)
         .groupBy(*by, day)
         .agg(F.sort_array(F.collect_set(order_key(order))).alias("_keys"))
@@ -72,16 +72,16 @@ def cut_days(
     steps = F.transform(halvings, lambda b: F.call_function("shiftleft", F.lit(1), b))
     cuts = cuts.withColumn("_steps", steps)
     return (
-        df.join(*_on(cuts, [*by, day], ["_cuts", "_steps"]), "left")
+        df.join(*_on(cuts, [*by, day], ["_cuts", "_steps"], few), "left")
         .withColumn(SEGMENT, _count_at_or_below("_cuts", "_steps", order_key(order)))
         .select(*df.columns, SEGMENT)
     )
 
 
-def _on(small: DataFrame, keys: Sequence[str], values: Sequence[str]) -> tuple[DataFrame, Column]:
+def _on(small: DataFrame, keys: Sequence[str], values: Sequence[str], few: bool) -> tuple[DataFrame, Column]:
     """The small side of a null-safe equi-join, with its keys renamed, and the condition."""
     named = small.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *values)
-    return F.broadcast(named), reduce(
+    return F.broadcast(named) if few else named, reduce(
         lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
     )
 

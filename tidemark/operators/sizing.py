@@ -28,13 +28,15 @@ def net_returns(
 ) -> DataFrame:
     """Yesterday's weight times today's return, less costs on the change of weight.
 
-    A series starts from no position.
+    A series starts from no position, and a missing weight is a closed one: closing
+    costs, and the day's return on the position held until then counts.
     """
-    before = F.coalesce(F.lag(weight).over(Window.partitionBy(*by).orderBy("date")), F.lit(0.0))
+    held = F.coalesce(F.col(weight), F.lit(0.0))
+    before = F.coalesce(F.lag(held).over(Window.partitionBy(*by).orderBy("date")), F.lit(0.0))
     return (
         positions.withColumn("_before", before)
         .withColumn("gross_ret", F.col("_before") * F.col(ret))
-        .withColumn("cost", F.lit(cost_bps * 1e-4) * F.abs(F.col(weight) - F.col("_before")))
+        .withColumn("cost", F.lit(cost_bps * 1e-4) * F.abs(held - F.col("_before")))
         .withColumn("net_ret", F.col("gross_ret") - F.col("cost"))
         .drop("_before")
     )

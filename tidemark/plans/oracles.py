@@ -101,6 +101,8 @@ def _har(source: str, days: int, vol: str) -> str:
 
 
 CTE |= _rv("bars")
+CTE["gappy"] = "select * replace (case when hour(open_time) % 5 <> 0 then volume end as volume) from bars"
+CTE |= _rv("gappy")
 CTE |= _rv("trades", _TIES)
 
 
@@ -206,7 +208,7 @@ CTE["texts"] = f"""
   select doc_id, source as asset, cast(date '2024-01-01' + cast(doc_id % 30 as integer) as date) as date,
          len(list_filter(w, lambda x: x in ({', '.join(f"'{x}'" for x in POSITIVE_WORDS)}))) as pos,
          len(list_filter(w, lambda x: x in ({', '.join(f"'{x}'" for x in NEGATIVE_WORDS)}))) as neg
-  from (select *, regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+') as w from documents)"""
+  from (select *, regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}]+') as w from documents)"""
 CTE["books"] = """
   select event_type as symbol, ts as timestamp, value, cast(json_extract_string(props, '$.k') as bigint) as k
   from events"""
@@ -270,6 +272,28 @@ oracle("bars_hourly", "select *, '1 hour' as interval from bars", **_BAR, interv
 oracle("log_returns", f"select *, {_LOG_RET} from bars", symbol=EXACT, open_time=TIME, close=EXACT, log_ret=NUM)
 oracle("rv_daily", "select * from bars_har ", **_KEY, **_RV)
 oracle("har_features", "select * from trades_har ", **_KEY, **_RV)
+oracle("har_features_cut", "select * from trades_har ", **_KEY, **_RV)
+oracle("micro_with_gaps", "select * from gappy_rv ", **_KEY, **_OBI, **_LIQ)
+CTE["two"] = """
+  select symbol, '1h' as interval, open_time, close from bars
+  union all
+  select symbol, '1d', date_trunc('day', open_time), last(close order by open_time) from bars group by 1, 2, 3"""
+oracle(
+    "log_returns_by_interval",
+    """select *, ln(nullif(close, 0) / nullif(lag(close) over (partition by symbol, interval order by open_time), 0)) as log_ret
+       from two """,
+    symbol=EXACT, interval=EXACT, open_time=TIME, close=EXACT, log_ret=NUM,
+)
+oracle(
+    "rewritten_series",
+    "select symbol, open_time, case when symbol = 'click' then close * 2 else close end as close from bars ",
+    symbol=EXACT, open_time=TIME, close=EXACT,
+)
+oracle(
+    "panel_missing_series",
+    """select date, max(value) filter (series = '1-URGENT') as urgent, cast(null as double) as absent from panel group by date""",
+    date=DAY, urgent=NUM, absent=NUM,
+)
 CTE["equity"] = """
   select symbol, date, pow(ln(high / nullif(low, 0)), 2) / (4 * ln(2)) as PK,
          0.5 * pow(ln(high / nullif(low, 0)), 2) - (2 * ln(2) - 1) * pow(ln(nullif(close, 0) / nullif(open, 0)), 2) as GK,
@@ -303,9 +327,9 @@ oracle(
 oracle(
     "search_trends",
     "select cast(date_trunc('week', o_orderdate) as date) as date, " + ", ".join(
-        f"nullif(count(*) filter (o_orderstatus = 'P' and o_orderpriority = '{s}'), 0) as {t}"
+        f"nullif(count(*) filter (o_orderpriority = '{s}'), 0) as {t}"
         for s, t in zip(PANEL_IDS, SEARCH_TERMS)
-    ) + " from orders group by 1 having count(*) filter (o_orderstatus = 'P') > 0",
+    ) + " from orders group by 1",
     date=DAY, **dict.fromkeys(SEARCH_TERMS, INT),
 )
 oracle(
@@ -514,7 +538,8 @@ oracle(
 )
 
 oracle("har_fit", "select * from fit ", symbol=EXACT, n=INT, **_num("b_0", "b_RV_d", "b_RV_w", "b_RV_m", "r2"))
-oracle("har_forecast", "select * from forecasts ", **_KEY, **_num("log_RV", "pred_log_RV", "pred_RV", "resid"))
+oracle("har_forecast", """select h.symbol, h.date, h.log_RV, f.pred_log_RV, f.pred_RV, f.resid
+       from trades_har h left join forecasts f using (symbol, date)""", **_KEY, **_num("log_RV", "pred_log_RV", "pred_RV", "resid"))
 oracle(
     "forecast_quantiles",
     """select symbol, date, pred_log_RV + p10 as q10, pred_log_RV + p50 as q50, pred_log_RV + p90 as q90

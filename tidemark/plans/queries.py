@@ -91,6 +91,25 @@ def har_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(_trade_history(spark, sf_dir))
 
 
+@query
+def har_features_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with segments of 20 rows, so that days are cut as a far larger table's would be."""
+    trades = data.daily_ticks(spark, sf_dir)
+    return shown(daily.realized_daily(trades, ties=data.DAILY_TICK_TIES, segment_rows=20))
+
+
+@query
+def log_returns_by_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly and daily bars of one symbol in one table: each interval is a series of its own."""
+    hourly = data.hourly_bars(spark, sf_dir).select("symbol", F.lit("1h").alias("interval"), "open_time", "close")
+    days = hourly.groupBy("symbol", F.date_trunc("day", "open_time").alias("open_time")).agg(
+        F.max_by("close", hourly["open_time"]).alias("close")
+    )
+    both = hourly.unionByName(days.withColumn("interval", F.lit("1d")))
+    returns = bars.log_returns(both, by=("symbol", "interval"))
+    return shown(returns, "symbol", "interval", "open_time", "close", "log_ret", exact=("close",))
+
+
 @query
 def equity_daily_rv(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_returns = bars.daily_log_returns(data.daily_bars(spark, sf_dir))
@@ -117,6 +136,13 @@ def tick_micro_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(micro)
 
 
+@query
+def micro_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The microstructure family where every fifth hour, a day's first one included, lacks its volume."""
+    known = F.when(F.hour("open_time") % 5 != 0, F.col("volume"))
+    return shown(daily.micro_daily(data.hourly_bars(spark, sf_dir).withColumn("volume", known)))
+
+
 @query
 def vpin_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     buckets = vpin.volume_buckets(data.ticks(spark, sf_dir).drop("is_buyer_maker"), **TICK)
@@ -164,8 +190,7 @@ def search_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("o_orderpriority").alias("series"),
             F.to_date(F.date_trunc("week", "o_orderdate")).alias("date"),
         )
-        .agg(F.count_if(F.col("o_orderstatus") == "P").alias("value"))
-        .where(F.col("value") > 0)
+        .agg(F.count(F.lit(1)).alias("value"))
     )
     wide = panel.outer_panel(weekly, data.PANEL_IDS)
     return shown(wide.withColumnsRenamed(dict(zip(data.PANEL_IDS, tables.SEARCH_TERMS))))
@@ -228,7 +253,7 @@ def panic_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def doc_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tables.spread(data.table(spark, sf_dir, "documents"))
+    docs = data.table(spark, sf_dir, "documents")
     return shown(docs.select("doc_id", F.col("source").alias("asset"), "text").withColumns(
         news.sentiment_columns()
     ), "doc_id", "asset", "pos", "neg", "score")
@@ -236,7 +261,7 @@ def doc_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sentiment_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tables.spread(data.table(spark, sf_dir, "documents")).select(
+    docs = data.table(spark, sf_dir, "documents").select(
         F.col("source").alias("asset"),
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")).alias("date"),
         "text",
@@ -336,6 +361,27 @@ def stored_bars_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(stored, exact=OHLCV)
 
 
+@query
+def rewritten_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One symbol of a stored table written anew: the others are still there."""
+    path = shared_folder(spark, "bars")
+    hourly = data.hourly_bars(spark, sf_dir).select("symbol", "open_time", "close")
+    tables.write_table(hourly, path, time="open_time")
+    tables.write_table(hourly.where("symbol = 'click'").withColumn("close", F.col("close") * 2), path, time="open_time")
+    stored = tables.read_table(spark, path, "symbol string, open_time timestamp, close double")
+    return shown(stored, exact=("close",))
+
+
+@query
+def panel_missing_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A panel id that delivered nothing keeps its empty column."""
+    long = data.panel_long(spark, sf_dir).where("series = '1-URGENT'").unionByName(
+        data.panel_long(spark, sf_dir).where("series <> '1-URGENT'").withColumn("series", F.lit("other"))
+    )
+    wide = panel.outer_panel(long, ["1-URGENT", "9-ABSENT"])
+    return shown(wide.withColumnsRenamed({"1-URGENT": "urgent", "9-ABSENT": "absent"}))
+
+
 def _profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three datasets: with a known time column, a named one, and none; one has gaps."""
     lineitem, documents = (data.table(spark, sf_dir, t) for t in ("lineitem", "documents"))
@@ -399,7 +445,9 @@ def _forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def har_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(_forecasts(spark, sf_dir), "symbol", "date", "log_RV", "pred_log_RV", "pred_RV", "resid")
+    """Every day of the history; those without all lags have no forecast."""
+    every = model.har_forecast(_trade_history(spark, sf_dir))
+    return shown(every, "symbol", "date", "log_RV", "pred_log_RV", "pred_RV", "resid")
 
 
 @query
@@ -506,10 +554,8 @@ def stream_book_imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_vpin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two chained streams: ticks to closed bars, and those to volume buckets."""
+    """Ticks to closed bars, and each micro-batch of those to volume buckets."""
     bar_stream = jobs.stream_bars(_tick_stream(spark, sf_dir), "1 hour", "10 minutes", order=["ts", "tick_id"])
     out = shared_folder(spark, "stream-vpin")
-    jobs.drain_to_parquet(bar_stream, f"{out}/bars", f"{out}/bars-checkpoint")
-    buckets = stream.stream_vpin(jobs.file_stream(spark, f"{out}/bars", bar_stream.schema), 500.0)
-    jobs.drain_to_parquet(buckets, f"{out}/buckets", f"{out}/buckets-checkpoint")
-    return shown(spark.read.schema(buckets.schema).parquet(f"{out}/buckets"))
+    stream.drain_vpin(bar_stream, out, f"{out}/checkpoint", 500.0)
+    return shown(stream.read_buckets(spark, out))

@@ -63,7 +63,9 @@ def read_table(
 def write_table(
     df: DataFrame, path: str, partition_by: Sequence[str] = ("symbol",), time: str | None = None
 ) -> None:
-    """Overwrite a Parquet table, one folder per series.
+    """Overwrite the series that ``df`` has in a Parquet table, one folder per series.
+
+    Other series of the table stay as they are; a table without series is replaced.
 
     The rebalance hint gathers a series' rows into few files, and lets adaptive
     execution split a series that is too large for one task. With ``time`` the rows of a
@@ -73,20 +75,10 @@ def write_table(
     gathered = df.hint("rebalance", *keys)
     if time:
         gathered = gathered.sortWithinPartitions(*keys, time)
-    writer = gathered.write.mode("overwrite")
+    writer = gathered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if keys else "static")
     (writer.partitionBy(*keys) if keys else writer).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out where the work per row is heavy and the scan has too few tasks.
-
-    A file with one row group is read by one task, whatever its rows then cost. Large
-    tables have more splits than there are cores and pass through untouched.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 # Names of the tie-breakers that ``with_row_position`` adds.
 ROW_POSITION = ("_file", "_row")
 
