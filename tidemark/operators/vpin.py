@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.columns import norm_cdf, ratio, zero_to
+from ..functions.columns import norm_cdf, or_zero, zero_to
 from ..session import stored
 from .bars import with_day
 from .panel import day_spine
@@ -109,18 +109,52 @@ def bucket_vpin(
     if signed_trades:
         bought = F.col("V_taker")
     else:
-        # A step of its own: a window expression used twice would be computed twice.
-        sigma = F.stddev_samp("dP").over(series.rowsBetween(1 - SIGMA_ROWS, 0))
-        frame = frame.withColumn("sigma_dP", sigma).withColumn("sigma_dP", zero_to("sigma_dP", SIGMA_FLOOR))
+        frame = _trailing(frame, by, series, SIGMA_ROWS, {
+            "n": F.count("dP"), "mean": F.avg("dP"), "var": F.var_pop("dP")
+        })
+        n1, n2 = F.col("_front_n"), F.col("_back_n")
+        apart = F.coalesce(F.col("_front_mean") - F.col("_back_mean"), F.lit(0.0))
+        m2 = or_zero(F.col("_front_var") * n1) + or_zero(F.col("_back_var") * n2)
+        m2 = m2 + or_zero(apart * apart * n1 * n2 / F.nullif(n1 + n2, F.lit(0)))
+        n = n1 + F.coalesce(n2, F.lit(0))
+        frame = frame.withColumn("sigma_dP", zero_to(F.sqrt(F.when(n > 1, m2 / (n - 1))), SIGMA_FLOOR))
         bought = F.col("V_total") * norm_cdf(F.col("dP") / F.col("sigma_dP"))
     frame = frame.withColumn("V_buy", bought).withColumn("V_sell", F.col("V_total") - F.col("V_buy"))
-    last = series.rowsBetween(1 - BUCKETS_PER_DAY, 0)
     imbalance = F.abs(F.col("V_buy") - F.col("V_sell"))
-    vpin = F.when(
-        F.count(imbalance).over(last) == BUCKETS_PER_DAY,
-        F.sum(imbalance).over(last) / (BUCKETS_PER_DAY * F.col("V_star")),
+    kept = [*frame.columns]
+    frame = _trailing(frame, by, series, BUCKETS_PER_DAY, {"n": F.count(imbalance), "sum": F.sum(imbalance)})
+    full = F.col("_front_n") + F.coalesce("_back_n", F.lit(0)) == BUCKETS_PER_DAY
+    total = or_zero("_front_sum") + or_zero("_back_sum")
+    vpin = F.when(full, total / (BUCKETS_PER_DAY * F.col("V_star")))
+    plain = [c for c in kept if not c.startswith(("_front_", "_back_")) and c not in ("_block", "_row")]
+    return frame.withColumn("VPIN", vpin).where(own).select(*plain, "VPIN")
+
+
+def _trailing(
+    frame: DataFrame, by: Sequence[str], series: WindowSpec, rows: int, measures: dict[str, Column]
+) -> DataFrame:
+    """Aggregates over the last ``rows`` rows, in two parts to be merged: O(1) work per row.
+
+    Rows are numbered by ``_row`` and fall into chunks of ``rows``. A row's frame is the
+    front of its own chunk, up to itself, and the back of the chunk before, from the row
+    that is ``rows - 1`` rows earlier; both are running aggregates of a chunk. Without
+    such a row the back part is NULL.
+    """
+    chunked = frame.drop(*[f"_{part}_{m}" for part in ("front", "back") for m in measures]).withColumn(
+        "_chunk", F.floor(F.col("_row") / rows)
+    )
+    chunk = Window.partitionBy(*by, "_block", "_chunk")
+    front = chunk.orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
+    back = chunk.orderBy(F.desc("_row")).rowsBetween(Window.unboundedPreceding, 0)
+    out = chunked.repartition(*by, "_block")
+    out = out.withColumns({f"_rest_{m}": c.over(back) for m, c in measures.items()})
+    out = out.withColumns({f"_front_{m}": c.over(front) for m, c in measures.items()})
+    before = F.lag("_chunk", rows - 1).over(series) < F.col("_chunk")
+    reached = {f"_back_{m}": F.lag(f"_rest_{m}", rows - 1).over(series) for m in measures}
+    out = out.withColumns({**reached, "_before": before})
+    return out.withColumns({c: F.when(F.col("_before"), F.col(c)) for c in reached}).drop(
+        "_chunk", "_before", *[f"_rest_{m}" for m in measures]
     )
-    return frame.withColumn("VPIN", vpin).where(own).drop("_block", "_row")
 
 
 def vpin_daily(
