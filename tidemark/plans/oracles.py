@@ -522,6 +522,16 @@ oracle(
         max(missing_pct) * 100 as worst_missing_pct from ({_PROFILES}) group by 1""",
     file=EXACT, rows=INT, status=EXACT, worst_missing_pct=NUM,
 )
+oracle(
+    "manifest_readback",
+    """select 'documents.parquet' as file, count(*) as rows, 5 as n_columns, 'OK' as status, 0 as has_error from documents
+       union all select 'absent.parquet', null, null, 'FAILED', 1""",
+    file=EXACT, rows=INT, n_columns=INT, status=EXACT, has_error=INT,
+)
+oracle(
+    "bars_with_empty_history", "select symbol, open_time, close from bars ",
+    symbol=EXACT, open_time=TIME, close=EXACT,
+)
 oracle(
     "schema_enforce",
     """select event_id, try_cast(k as bigint) as k, try_cast(value as double) as value, try_cast(ts as timestamp) as ts

@@ -407,6 +407,27 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(profiling.quality_report(_profiled(spark, sf_dir)))
 
 
+@query
+def manifest_readback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest written as JSON and read again: one dataset that is there and one that is not."""
+    files = [{"file": f"{sf_dir}/{name}.parquet", "source": "given"} for name in ("documents", "absent")]
+    path = shared_folder(spark, "manifest")
+    profiling.write_manifest(profiling.profile_files(spark, files), path)
+    back = spark.read.schema("file string, rows bigint, columns array<string>, status string, error string").json(path)
+    return shown(back.select(
+        F.element_at(F.split("file", "/"), -1).alias("file"), "rows", F.size("columns").alias("n_columns"), "status",
+        F.col("error").isNotNull().alias("has_error"),
+    ))
+
+
+@query
+def bars_with_empty_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars after a stored history that has no file yet: the empty one keeps its schema."""
+    absent = tables.read_table(spark, shared_folder(spark, "absent"), "symbol string, open_time timestamp, close double")
+    hourly = data.hourly_bars(spark, sf_dir).select("symbol", "open_time", "close")
+    return shown(absent.unionByName(hourly), exact=("close",))
+
+
 def _raw_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     return data.table(spark, sf_dir, "events").select(
