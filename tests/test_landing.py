@@ -131,3 +131,14 @@ def test_sentiment(spark):
     texts = spark.createDataFrame([("Good, GOOD? bad.",), ("nothing",), (None,)], "text string")
     got = [r["score"] for r in texts.withColumns(news.sentiment_columns()).collect()]
     assert got == [0.25, 0.0, 0.0]
+
+
+def test_documents_in_a_folder(spark, tmp_path):
+    for symbol, name, text in (("A", "1.json", '[{"a": 1, "p": "2.5", "q": "1", "T": 0, "m": true}]'), ("A", "2.json", "no json"), ("B", "3.json", "[]")):
+        folder = tmp_path / f"symbol={symbol}"
+        folder.mkdir(exist_ok=True)
+        (folder / name).write_text(text)
+    landed = landing.read_landed(spark, str(tmp_path))
+    counts = {r["symbol"]: (r["documents"], r["malformed"]) for r in landing.document_counts(landed, landing.AGG_TRADES).collect()}
+    assert counts == {"A": (2, 1), "B": (1, 0)}
+    assert [(r["symbol"], r["agg_trade_id"], r["price"]) for r in landing.agg_trades(landed).collect()] == [("A", 1, 2.5)]

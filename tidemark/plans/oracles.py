@@ -522,6 +522,11 @@ oracle(
         max(missing_pct) * 100 as worst_missing_pct from ({_PROFILES}) group by 1""",
     file=EXACT, rows=INT, status=EXACT, worst_missing_pct=NUM,
 )
+oracle(
+    "landed_document_counts",
+    "select symbol, count(*) as documents, count(*) filter (tick_id % 7 = 0) as malformed from ticks group by symbol",
+    symbol=EXACT, documents=INT, malformed=INT,
+)
 oracle(
     "manifest_readback",
     """select 'documents.parquet' as file, count(*) as rows, 5 as n_columns, 'OK' as status, 0 as has_error from documents

@@ -282,6 +282,15 @@ def agg_trades_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(landing.agg_trades(data.landed_trades(spark, sf_dir)), exact=("price", "qty"))
 
 
+@query
+def landed_document_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades of which every seventh document has been cut off at its start."""
+    landed = data.landed_trades(spark, sf_dir)
+    broken = F.get_json_object("payload", "$[0].a").cast("bigint") % 7 == 0
+    cut = F.when(broken, F.substring("payload", 3, 1 << 20)).otherwise(F.col("payload"))
+    return shown(landing.document_counts(landed.withColumn("payload", cut), landing.AGG_TRADES))
+
+
 @query
 def depth_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Levels per symbol and side after the flatten, with their extremes."""

@@ -3,22 +3,39 @@
 Input is a frame with one JSON document per row in ``payload`` and the request's context
 (symbol, currency, asset) in columns of its own. Each document is parsed once against a
 declared schema and flattened in the same stage: no shuffle. Number casts are strict, as
-a malformed price should stop a load; a document that is no JSON gives no rows. Several
-pages or symbols are simply several rows; nothing is deduplicated.
+a malformed price should stop a load; a document that is no JSON gives no rows, and
+``document_counts`` tells how many there are. Several pages or symbols are simply several rows; nothing is deduplicated.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import epoch_ms, epoch_seconds, iso_time, tidy_name
 from ..operators.bars import daily_log_returns, log_returns
 from ..schemas import BOOK, BOOK_LEVELS
 
 
+AGG_TRADES = "array<struct<a:bigint,p:string,q:string,f:bigint,l:bigint,T:bigint,m:boolean>>"
+
+
+def document_counts(landed: DataFrame, schema: str, by: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Documents, and how many of them are missing or don't parse as ``schema``; folded before the shuffle."""
+    lost = F.from_json("payload", schema).isNull()
+    return landed.groupBy(*by).agg(F.count(F.lit(1)).alias("documents"), F.count_if(lost).alias("malformed"))
+
+
+def read_landed(spark: SparkSession, path: str, context: str = "symbol string") -> DataFrame:
+    """Vendor documents in a folder, a file each, below folders that name their context (symbol=...)."""
+    fields = T.StructType.fromDDL(context)
+    files = spark.read.schema(f"value string, {context}").option("wholetext", True).text(path)
+    return files.select(*fields.names, F.col("value").alias("payload"))
+
+
 def _parsed(landed: DataFrame, schema: str) -> DataFrame:
     return landed.withColumn("payload", F.from_json("payload", schema))
 
@@ -45,9 +62,8 @@ def klines(landed: DataFrame, by: Sequence[str] = ("symbol",), returns: bool = T
 
 
 def agg_trades(landed: DataFrame, by: Sequence[str] = ("symbol",)) -> DataFrame:
-    schema = "array<struct<a:bigint,p:string,q:string,f:bigint,l:bigint,T:bigint,m:boolean>>"
     t = F.col("_t")
-    return _parsed(landed, schema).withColumn("_t", F.explode("payload")).select(
+    return _parsed(landed, AGG_TRADES).withColumn("_t", F.explode("payload")).select(
         *by,
         t["a"].alias("agg_trade_id"),
         t["p"].cast("double").alias("price"),
