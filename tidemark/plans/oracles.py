@@ -204,6 +204,13 @@ CTE["net"] = """
   select *, before * ret as gross_ret, 5.0 * 1e-4 * abs(weight - before) as cost,
          before * ret - 5.0 * 1e-4 * abs(weight - before) as net_ret
   from (select *, coalesce(lag(weight) over (partition by symbol order by date), 0.0) as before from weights)"""
+# The same with coefficients from the days up to one, and positions on the days after it.
+_UNTIL = "1996-12-31"
+CTE["fit_rows_oos"] = CTE["fit_rows"] + f" and date <= date '{_UNTIL}'"
+for _name, _source in (("moments", "from fit_rows"), ("slopes", "from moments"), ("fit", "from slopes"), ("forecasts", "join fit")):
+    CTE[f"{_name}_oos"] = CTE[_name].replace(_source, f"{_source}_oos")
+CTE["weights_oos"] = CTE["weights"].replace("from forecasts", "from forecasts_oos") + f" where date > date '{_UNTIL}'"
+CTE["net_oos"] = CTE["net"].replace("from weights", "from weights_oos")
 CTE["texts"] = f"""
   select doc_id, source as asset, cast(date '2024-01-01' + cast(doc_id % 30 as integer) as date) as date,
          len(list_filter(w, lambda x: x in ({', '.join(f"'{x}'" for x in POSITIVE_WORDS)}))) as pos,
@@ -642,6 +649,19 @@ oracle(
        count(*) filter (net_ret > 0) / count(net_ret) as hit_rate from net group by symbol""",
     symbol=EXACT, days=INT, **_num("mean_ret", "std_ret", "sharpe", "hit_rate"),
 )
+oracle(
+    "har_forecast_oos",
+    """select h.symbol, h.date, h.log_RV, f.pred_log_RV, f.pred_RV, f.resid
+       from trades_har h left join forecasts_oos f using (symbol, date)""",
+    **_KEY, **_num("log_RV", "pred_log_RV", "pred_RV", "resid"),
+)
+oracle(
+    "strategy_summary_oos",
+    """select symbol, count(net_ret) as days, avg(net_ret) as mean_ret, stddev_samp(net_ret) as std_ret,
+       avg(net_ret) / stddev_samp(net_ret) * sqrt(365) as sharpe,
+       count(*) filter (net_ret > 0) / count(net_ret) as hit_rate from net_oos group by symbol""",
+    symbol=EXACT, days=INT, **_num("mean_ret", "std_ret", "sharpe", "hit_rate"),
+)
 oracle(
     "stress_regime",
     """select *, case when value > trailing_mean then 'High' when value <= trailing_mean then 'Low' end as regime from (

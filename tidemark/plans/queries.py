@@ -480,6 +480,16 @@ def har_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(every, "symbol", "date", "log_RV", "pred_log_RV", "pred_RV", "resid")
 
 
+# Fits see no day after this one where forecasts are judged out of sample.
+TRAIN_UNTIL = "1996-12-31"
+
+
+@query
+def har_forecast_oos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = model.har_forecast(_trade_history(spark, sf_dir), train_until=TRAIN_UNTIL)
+    return shown(every, "symbol", "date", "log_RV", "pred_log_RV", "pred_RV", "resid")
+
+
 @query
 def forecast_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     bands = model.forecast_quantiles(_forecasts(spark, sf_dir))
@@ -513,10 +523,10 @@ def confidence_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(evaluate.model_confidence_set(losses, replicates=200, block=20))
 
 
-def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _positions(spark: SparkSession, sf_dir: str, train_until: str | None = None) -> DataFrame:
     """Weights from the forecasts and the daily returns, both from one pass over the trades."""
     returns = bars.daily_log_returns(_trade_history(spark, sf_dir, "close")).withColumnRenamed("log_ret", "ret")
-    forecasts = model.har_forecast(returns).where(F.col("pred_log_RV").isNotNull())
+    forecasts = model.har_forecast(returns, train_until=train_until).where(F.col("pred_log_RV").isNotNull())
     return forecasts.withColumn("weight", sizing.position_size("pred_RV"))
 
 
@@ -538,6 +548,13 @@ def strategy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(sizing.strategy_summary(sizing.net_returns(_positions(spark, sf_dir))))
 
 
+@query
+def strategy_summary_oos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strategy on the days after the fit's last one."""
+    later = _positions(spark, sf_dir, TRAIN_UNTIL).where(F.col("date") > F.lit(TRAIN_UNTIL).cast("date"))
+    return shown(sizing.strategy_summary(sizing.net_returns(later)))
+
+
 @query
 def stress_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(model.stress_regime(data.panel_long(spark, sf_dir)))
