@@ -34,24 +34,32 @@ from .text import appended, name, whole
 
 LEAF_BYTES = 24  # shorter strings are merged directly
 LEAF_IDS = 1024  # ids that decoding joins at once
-CACHE = 1 << 17  # encoded strings of a kind that a task remembers
+CACHE = 1 << 18  # encoded strings of a kind that a task remembers
 # White space before a blank and none but white space after it: the run belongs together.
 UNSAFE = re.compile(r"[\s\x1c-\x1f\x85\xa0] (?:[\s\x1c-\x1f\x85\xa0]|$)").search
 NONE = 1 << 60  # no rank
 
 
 class Memo(dict):
-    """Remembers what a function gave for short strings."""
+    """Remembers what a function gave for short strings, in two generations.
+
+    When the younger one is full it becomes the older one, and what is looked up again
+    moves back, so strings that are common stay.
+    """
 
     def __init__(self, of: Callable[[str], bytes]):
-        self.of = of
+        self.of, self.older = of, {}
 
     def __missing__(self, key: str) -> bytes:
-        value = self.of(key)
-        if len(key) <= 64:
-            if len(self) >= CACHE:
-                self.clear()
-            self[key] = value
+        value = self.older.get(key)
+        if value is None:
+            value = self.of(key)
+            if len(key) > 64:
+                return value
+        if len(self) >= CACHE // 2:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
         return value
 
 

@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import json
 import re
-from copy import copy
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -33,7 +32,7 @@ from .text import appended, whole
 
 CHUNK = 1 << 14  # characters to a state map
 STATES = 1 << 18  # compiled states that a task holds before it starts anew
-CACHE = 1 << 17
+CACHE = 1 << 18
 # The pretokenizer's pattern of byte-level vocabularies: a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPACE = r"\s\x1c-\x1f\x85\xa0"
@@ -62,12 +61,6 @@ class Transducer:
     def __reduce__(self):
         return Transducer, (self.merges,)
 
-    def fresh(self) -> Transducer:
-        """The same tables with nothing compiled: for one task, so that its memory goes with it."""
-        other = copy(self)
-        other.clear()
-        return other
-
     def clear(self) -> None:
         self.pairs: dict[tuple[bytes | None, bytes], bool] = {}
         # A state: the suffix, and (last token, count relative to now) at each position in it, the start included.
@@ -244,8 +237,7 @@ def counted(docs: DataFrame, counter: Counter, text_col: str = "text", keep=None
     shared = docs.sparkSession.sparkContext.broadcast(counter)
 
     def make():
-        c = shared.value
-        count = Counter(c.transducer.fresh(), c.pattern, c.specials).count
+        count = shared.value.count  # a worker's tasks share what has been compiled
 
         def work(texts: pa.Array) -> list[pa.Array]:
             rows = texts.to_pylist()
