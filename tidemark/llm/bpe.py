@@ -78,12 +78,6 @@ class Vocabulary:
     def __setstate__(self, state: tuple) -> None:
         self.__init__(*state)
 
-    def fresh(self) -> Vocabulary:
-        """The same tables with nothing remembered: for one task, so that its memory goes with it."""
-        other = Vocabulary(self.ranks, self.pattern)
-        other.__dict__ |= {"strings": self.strings, "split": self.split}
-        return other
-
     @cached_property
     def split(self):
         return regex.compile(self.pattern).findall
@@ -204,7 +198,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", kee
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def make():
-        packed = shared.value.fresh().packed
+        packed = shared.value.packed  # a worker's tasks share what it remembers
 
         def work(texts: pa.Array) -> list[pa.Array]:
             rows = [packed(t) for t in texts.to_pylist()]
