@@ -201,6 +201,14 @@ def test_lm_query(spark, sf_dir, texts):
     assert all(r["lm_tokens"] == len(brute.words(of[r["doc_id"]])) for r in rows)
 
 
+def test_lm_target_counts_every_label(spark):
+    """More labelled ids than any fixed number of them."""
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("one two").alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    marked = queries.target_marked(docs, labels.unionByName(labels.limit(5)))
+    assert marked.count() == marked.where("target").count() == 30_000
+
+
 def by_hand(url):
     rest = url.partition("://")[2] if url and "://" in url else ""
     host = re.match(r"[^/?#]*", rest)[0].translate(brute.LOWER)

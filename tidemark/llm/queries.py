@@ -134,17 +134,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-# Documents of quality 1 that stand for the target: at most so many labelled ids, by hash.
-TARGET_IDS = 20_000
+def target_marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Documents with ``target``: true for every one labelled with quality 1, else NULL."""
+    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    return docs.join(good.withColumn("target", F.lit(True)), "doc_id", "left")
 
 
 @query
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = table(spark, sf_dir, "labels").where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_IDS).withColumn("target", F.lit(True))
-    marked = docs.join(F.broadcast(good), "doc_id", "left")  # 20,000 ids at most
-    models = lm_score.fit(marked, F.col("target"))
+    models = lm_score.fit(target_marked(docs, table(spark, sf_dir, "labels")), F.col("target"))
     return lm_score.scored(docs, models, keep=["doc_id"])
 
 
