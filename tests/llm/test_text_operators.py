@@ -209,6 +209,39 @@ def test_lm_target_counts_every_label(spark):
     assert marked.count() == marked.where("target").count() == 30_000
 
 
+def test_lm_tables_count_every_word_and_pair(spark):
+    """20,000 words, most of them seen once: each has its own probability, and so has each pair."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join([f"r{i}x{k}" for k in range(400)] + [f"c{k}" for k in rng.integers(0, 9, 40)]), i % 3 == 0) for i in range(50)]
+    rows += [(50, rows[0][1], True), (51, None, True), (52, "", None)]
+    schema = "doc_id bigint, text string, target boolean"
+    docs = spark.createDataFrame(rows, schema)
+    models = lm_score.fit(docs, F.col("target"))
+    news = [(60, "c1 r3x7 never c2 c2", None), (61, rows[4][1], None)]
+    got = {r["doc_id"]: r for r in lm_score.scored(docs, models, counted=True).collect()}
+    got |= {r["doc_id"]: r for r in lm_score.scored(spark.createDataFrame(news, schema), models).collect()}
+    assert len(got) == len(rows) + len(news)
+    size = len({w for _, t, _ in rows for w in (t or "").split()}) + 1
+    assert models.size == size > lm_score.MAX_WORDS
+    for loss, chosen in (("background_loss", rows), ("target_loss", [r for r in rows if r[2]])):
+        uni, bi, context, used = Counter(), Counter(), Counter(), Counter()
+        for _, t, _ in chosen:
+            ws = (t or "").split()
+            uni.update(ws), bi.update(zip(["", *ws], ws, strict=False)), context.update(["", *ws][: len(ws)])
+        for (v, _), n in bi.items():
+            used[v] += n - lm_score.DISCOUNT
+        total = sum(uni.values()) + size
+
+        def p(v, w):
+            c = max(context[v], 1)  # noqa: B023
+            return max(bi[v, w] - lm_score.DISCOUNT, 0) / c + (1 - used[v] / c) * (uni[w] + 1) / total  # noqa: B023
+
+        for i, t, _ in [*rows, *news]:
+            ws = (t or "").split()
+            want = -np.mean([np.log(p(v, w)) for v, w in zip(["", *ws], ws, strict=False)]) if ws else 0
+            assert got[i][loss] == pytest.approx(want) and got[i]["lm_tokens"] == len(ws)
+
+
 def by_hand(url):
     rest = url.partition("://")[2] if url and "://" in url else ""
     host = re.match(r"[^/?#]*", rest)[0].translate(brute.LOWER)

@@ -6,15 +6,21 @@ discounting of pairs, interpolated with add-one words. A document's score is the
 over its tokens of background loss less target loss, so documents like the target score
 above 0.
 
-Counts come from all documents and grow with them; they are folded in each batch and
-summed by Spark. What is sent to the tasks is bounded: the most frequent words (others
-are one unknown word) and the most frequent pairs among them; pairs that fall short back
-off, with the weight that their context has left.
+Every word and every pair of all documents counts. Counts are a written table of pairs:
+its sums by second word are the word counts, those by first word the contexts. Scoring
+folds each text to (text, pair, count) and joins that to the pairs' log probabilities by
+a shuffle, so no task and no driver holds a model. Words and texts travel as 64-bit
+hashes, a pair as a mix of its words' hashes.
+
+``fit`` with bounds gives models that are small enough to be sent to tasks instead: the
+most frequent words (others are one unknown word) and the most frequent pairs among them;
+pairs that fall short back off, with the weight that their context has left.
 
 Defined results: NULL, empty texts and texts without words have no tokens, losses 0 and
 score 0; a NULL mark is not target; without target documents both models are the same
-uniform one on that side. Other columns pass through; a column named like an output is
-replaced. Empty tables give empty results.
+uniform one on that side; a pair that was not counted backs off, a word that was not
+counted has the add-one share and, as a context, leaves all weight. Other columns pass
+through; a column named like an output is replaced. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -26,16 +32,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .text import WORD, appended, whole
+from .text import WORD, appended, name, small_batches, whole
 
 MAX_WORDS = 1 << 14
 MAX_PAIRS = 1 << 20
 MIN_PAIR = 3  # a rarer pair says more about the document it is in than about the language
 DISCOUNT = 0.75
+SEED = 42
+REMEMBERED = 200_000  # words whose hash a task keeps
 HISTOGRAM = 1 << 16  # counts that are told apart in choosing a threshold
 
 find_words = re.compile(WORD.encode()).findall
@@ -128,10 +137,120 @@ class Models:
         return len(now), float(background), float(target)
 
 
+class Hashes(dict):
+    """Hashes of words; 0 is left for the start of a text."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word, SEED) or 1
+        return h
+
+
+def folded_pairs(docs: DataFrame, group: Column, text_col: str) -> DataFrame:
+    """(g, a, b, c): how often word b follows word a in texts of a group, folded in each batch."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for batch in batches:
+            seconds, firsts, sizes = [], [], []
+            for text in batch.column(0).to_pylist():
+                words = find_words(text.lower())
+                h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)).view(np.int64)
+                seconds.append(h)
+                firsts.append(np.concatenate([[0], h[:-1]]) if len(h) else h)
+                sizes.append(len(h))
+                if len(hashes) > REMEMBERED:
+                    hashes.clear()
+            none = np.zeros(0, np.int64)
+            a, b = np.concatenate([none, *firsts]), np.concatenate([none, *seconds])
+            g = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), sizes)
+            order = np.lexsort((b, a, g))
+            a, b, g = a[order], b[order], g[order]
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (g[1:] != g[:-1])
+            at = np.flatnonzero(new)
+            c = np.diff(np.append(at, len(a)))
+            yield pa.RecordBatch.from_arrays([pa.array(g[at]), pa.array(a[at]), pa.array(b[at]), pa.array(c)], names=["g", "a", "b", "c"])
+
+    small_batches(docs)
+    rows = docs.select(whole(text_col).cast("binary"), group.cast("bigint"))
+    return rows.mapInArrow(count, "g bigint, a bigint, b bigint, c bigint")
+
+
+@dataclass
+class Tables:
+    pairs: DataFrame  # a, b, n, n_target of all pairs that occur
+    tokens: tuple[int, int]  # of all documents and of the target
+    size: int  # words, the unknown one included
+
+    def contexts(self) -> DataFrame:
+        used = lambda n: F.sum(F.greatest(F.col(n) - F.lit(DISCOUNT), F.lit(0.0)))
+        sums = [F.sum("n").alias("context"), F.sum("n_target").alias("context_target")]
+        return self.pairs.groupBy("a").agg(*sums, used("n").alias("used"), used("n_target").alias("used_target"))
+
+    def words(self) -> DataFrame:
+        return self.pairs.groupBy("b").agg(F.sum("n").alias("word"), F.sum("n_target").alias("word_target"))
+
+    def priced(self, pairs: DataFrame) -> DataFrame:
+        """(pair, background, target): log probabilities of pairs (a, b, n, n_target)."""
+
+        def log(side: str, tokens: int) -> Column:
+            of = lambda c: F.coalesce(c + side, F.lit(0)).cast("double")
+            context = F.greatest(of("context"), F.lit(1.0))
+            word = (of("word") + 1) / F.lit(float(tokens + self.size))
+            return F.log(F.greatest(of("n") - DISCOUNT, F.lit(0.0)) / context + (1 - of("used") / context) * word)
+
+        rows = pairs.join(self.contexts(), "a", "left").join(self.words(), "b", "left")
+        return rows.select(mixed().alias("pair"), log("", self.tokens[0]).alias("background"), log("_target", self.tokens[1]).alias("target"))
+
+
+def mixed() -> Column:
+    """One number for the pair (a, b)."""
+    turned = F.shiftleft("b", 1).bitwiseOR(F.shiftrightunsigned("b", 63))
+    return F.col("a").bitwiseXOR(turned)
+
+
+def fit_tables(docs: DataFrame, target: Column, text_col: str) -> Tables:
+    rows = folded_pairs(docs, F.coalesce(target, F.lit(False)).cast("int"), text_col)
+    marked = F.when(F.col("g") == 1, F.col("c")).otherwise(F.lit(0).cast("bigint"))
+    pairs = stored(rows.groupBy("a", "b").agg(F.sum("c").alias("n"), F.sum(marked).alias("n_target")), "lm-pairs")
+    found = pairs.groupBy("b").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+    found = found.agg(F.count("*").alias("words"), F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).first()
+    return Tables(pairs, (found["n"] or 0, found["n_target"] or 0), found["words"] + 1)
+
+
+def scored_by_tables(docs: DataFrame, models: Tables, text_col: str, keep: list[str], counted: bool) -> DataFrame:
+    outputs = ("lm_tokens", "background_loss", "target_loss", "lm_score")
+    kept = [c for c in keep if c.lower() not in outputs]
+    key = F.xxhash64(whole(text_col))
+    rows = folded_pairs(docs, key, text_col)
+    pairs = models.pairs
+    if not counted:
+        none = F.lit(0).cast("bigint")
+        new = rows.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+        pairs = pairs.unionByName(new.withColumns({"n": none, "n_target": none}))
+    priced = stored(models.priced(pairs), "lm-priced")
+    sums = rows.select("g", mixed().alias("pair"), "c").join(priced, "pair").groupBy("g").agg(
+        F.sum("c").alias("c"), F.sum(F.col("c") * F.col("background")).alias("background"), F.sum(F.col("c") * F.col("target")).alias("target")
+    )
+    # Copies of a text meet in one sum: means stay, tokens are those of all copies.
+    copies = docs.groupBy(key.alias("g")).agg(F.count("*").alias("copies"))
+    loss = lambda c: (-F.col(c) / F.col("c"))
+    losses = stored(sums.join(copies, "g").select("g", F.expr("c div copies").alias("n"), loss("background").alias("x"), loss("target").alias("y")), "lm-losses")
+    whole_rows = docs.select(F.struct(*[name(c) for c in kept] or [F.lit(0).alias("_none")]).alias("kept"), key.alias("g"))
+    number = lambda c: F.coalesce(c, F.lit(0.0))
+    return whole_rows.join(losses, "g", "left").select(
+        *[F.col("kept")[c].alias(c) for c in kept], F.coalesce("n", F.lit(0).cast("bigint")).alias("lm_tokens"),
+        number("x").alias("background_loss"), number("y").alias("target_loss"), number(F.col("x") - F.col("y")).alias("lm_score"),
+    )
+
+
 def fit(
-    docs: DataFrame, target: Column, text_col: str = "text", max_words: int = MAX_WORDS, max_pairs: int = MAX_PAIRS
-) -> Models:
-    """Both models, from counts over all of ``docs``."""
+    docs: DataFrame, target: Column, text_col: str = "text", max_words: int | None = None, max_pairs: int | None = None
+) -> Models | Tables:
+    """Both models, from counts over all of ``docs``: whole ones as tables, or with bounds ones for the tasks."""
+    if max_words is None and max_pairs is None:
+        return fit_tables(docs, target, text_col)
+    max_words, max_pairs = max_words or MAX_WORDS, max_pairs or MAX_PAIRS
     words = stored(word_counts(docs, target, text_col), "lm-words")
     totals = words.agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).first()
     frequent = words.where(F.col("n") >= threshold(words, max_words)).orderBy(F.desc("n"), "w").toPandas()
@@ -163,8 +282,13 @@ def fit(
     return Models(vocabulary, keys, seen, np.log(left), np.log(word))
 
 
-def scored(docs: DataFrame, models: Models, text_col: str = "text", keep=None) -> DataFrame:
-    """Append lm_tokens, background_loss, target_loss and lm_score of every whole text."""
+def scored(docs: DataFrame, models: Models | Tables, text_col: str = "text", keep=None, counted: bool = False) -> DataFrame:
+    """Append lm_tokens, background_loss, target_loss and lm_score of every whole text.
+
+    ``counted`` says that the tables were fitted on these very documents, so that no pair of theirs is missing.
+    """
+    if isinstance(models, Tables):
+        return scored_by_tables(docs, models, text_col, docs.columns if keep is None else list(keep), counted)
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def make():

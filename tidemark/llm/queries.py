@@ -144,7 +144,7 @@ def target_marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     models = lm_score.fit(target_marked(docs, table(spark, sf_dir, "labels")), F.col("target"))
-    return lm_score.scored(docs, models, keep=["doc_id"])
+    return lm_score.scored(docs, models, keep=["doc_id"], counted=True)
 
 
 @query
