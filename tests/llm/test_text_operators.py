@@ -155,6 +155,15 @@ def test_leaks_places(spark, odd, empty):
     assert decontaminate.matches(odd, items.limit(0)).count() == 0 and decontaminate.matches(empty, items).count() == 0
 
 
+def test_leaks_of_short_items(spark):
+    """Eight of an item's nine words share 4 of 5 shingles, 0.8 exactly, however far their SimHashes are."""
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(9))) for i in range(1500)]
+    docs = spark.createDataFrame([(i, t.rpartition(" ")[0]) for i, t in items], "doc_id bigint, text string")
+    rows = decontaminate.matches(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in rows) == [(i, i) for i, _ in items]
+    assert max(r["hamming"] for r in rows) > decontaminate.RADIUS
+
+
 def test_lm_against_plain_loops(spark, odd, empty):
     rng = np.random.default_rng(2)
     words = [f"w{i}" for i in range(12)]

@@ -6,12 +6,10 @@ occur, intersection over union.
 
 Windows are placed where they can match at all: every similar window shares a shingle
 with its item, so each shingle of a document that some item has places windows of that
-item's size, once for each position the shingle has in items of that size. A window's
-SimHash is then searched among the items of its size. The 64 bits fall into 20 blocks, so
-fingerprints at 19 bits or fewer agree in a whole block: joining on (size, block, bits)
-finds all of them. At a similarity of 0.8 shingle sets differ in about 10 of 64 bits with a
-deviation of 3, so 19 bits lose about one in 3,000 of the least similar ones and nothing
-of exact passages. What is found is verified exactly, on the shingles themselves.
+item's size, once for each position the shingle has in items of that size. A window is
+compared with every item of its size that it shares a shingle with: counts of shingle
+hashes give a similarity that is never too low, and what reaches 0.8 by them is verified
+on the shingles themselves. The SimHash distance is reported and decides nothing.
 
 Defined results: words are cut after lower-casing A-Z only; items of fewer than five
 words have one shingle, all their words; items and documents without words match nothing;
@@ -33,8 +31,7 @@ from .text import WORD, if_small, lower_ascii, name, whole
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 19
-BLOCK_BITS = (4,) * 4 + (3,) * 16  # RADIUS + 1 blocks
+RADIUS = 19  # bits of 64 that nearly all matches of long items stay within; nothing is dropped by it
 ITEM_SHINGLES = 1_000_000  # distinct item shingles that are broadcast: 8 bytes each; more are joined by a shuffle
 
 
@@ -64,15 +61,6 @@ def simhash(rows: DataFrame, *keys: str) -> DataFrame:
     return sums.select(*keys, reduce(Column.bitwiseOR, [one(b) for b in range(64)]).alias("f"))
 
 
-def in_blocks(rows: DataFrame) -> DataFrame:
-    """A row for each block of ``f``: its number and its bits."""
-    at, parts = 0, []
-    for k, n in enumerate(BLOCK_BITS):
-        parts.append(F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("f", at).bitwiseAND(F.lit((1 << n) - 1)).alias("bits")))
-        at += n
-    return rows.select("*", F.explode(F.array(*parts)).alias("b")).select(*rows.columns, "b.block", "b.bits")
-
-
 def prepared_items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(item_id, size, width, words) of each item with words."""
     rows = items.select(name(id_col).alias("item_id"), words_of(whole(text_col)).alias("words"))
@@ -129,14 +117,18 @@ def matches(
     )
     cut = stored(cut, "cut")
     key = ["doc_id", "digest", "start", "length", "size", "width"]
-    marked = simhash(cut.select(*key, F.explode(shingle_hashes(hashed(F.col("words")), F.col("width"))).alias("h")), *key)
-    item_marked = simhash(item_shingles, "item_id", "size", "width").withColumnRenamed("f", "g")
-    item_blocks = in_blocks(item_marked.withColumn("f", F.col("g"))).drop("f", "width")
+    hashes = cut.select(*key, F.explode(shingle_hashes(hashed(F.col("words")), F.col("width"))).alias("h"))
+    item_counts = item_shingles.groupBy("item_id", "size", "h").agg(F.count("*").alias("y"))
+    shared = hashes.groupBy(*key, "h").agg(F.count("*").alias("x")).join(item_counts, ["size", "h"])
+    shared = shared.groupBy(*key, "item_id").agg(F.sum(F.least("x", "y")).alias("shared"))
+    of = lambda words: F.greatest(F.col(words) - F.col("width") + 1, F.lit(1))
+    enough = shared.where(F.col("shared") / (of("length") + of("size") - F.col("shared")) >= similarity).alias("e")
+    marked = simhash(hashes, *key).alias("m")
+    item_marked = simhash(item_shingles, "item_id", "size").withColumnRenamed("f", "g")
+    same = [F.col(f"e.{c}").eqNullSafe(F.col(f"m.{c}")) for c in key]
     near = (
-        in_blocks(marked).join(item_blocks, ["size", "block", "bits"])
-        .withColumn("hamming", F.bit_count(F.col("f").bitwiseXOR(F.col("g"))))
-        .where(F.col("hamming") <= RADIUS)
-        .select(*key, "item_id", "hamming").distinct()
+        enough.join(marked, reduce(Column.__and__, same)).select("e.*", "m.f").join(item_marked, ["item_id", "size"])
+        .select(*key, "item_id", F.bit_count(F.col("f").bitwiseXOR(F.col("g"))).alias("hamming"))
     )
     return verified(stored(near, "candidates"), cut, bench, similarity)
 
