@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,7 +10,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import pin
-from . import bpe, chat, decontaminate, exact_dedup, licences, lm_score, simhash, token_counts, toxicity, url_filter
+from . import (
+    bpe,
+    chat,
+    clustering,
+    decontaminate,
+    exact_dedup,
+    hard_negatives,
+    licences,
+    lm_score,
+    mixing,
+    simhash,
+    token_counts,
+    toxicity,
+    url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -152,3 +167,27 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     rules = url_filter.mined(pages, table(spark, sf_dir, "labels"))
     return url_filter.judged(pages, rules).drop("url")
+
+
+@query
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, _ = mixing.mixed(table(spark, sf_dir, "documents"))
+    return documents.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
+@query
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inertias and digests are one row for each cluster."""
+    rows, centroids = clustering.clustered(table(spark, sf_dir, "embeddings"))
+    sums = dict(rows.groupBy("cluster").agg(F.sum("distance")).collect())
+    total = sum(sums.values())
+    digest = lambda c: hashlib.sha256(",".join(map(str, centroids[c])).encode()).hexdigest()
+    clusters = [(c, n, total, digest(c)) for c, n in sums.items()]
+    schema = "cluster int, cluster_inertia bigint, inertia bigint, centroid_sha256 string"
+    return rows.join(F.broadcast(spark.createDataFrame(clusters, schema)), "cluster")
