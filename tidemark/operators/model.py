@@ -45,17 +45,22 @@ def _fit_terms(
     def cov(a: str, b: str) -> Column:
         return F.col(f"_cov_{a}_{b}" if (a, b) in pairs else f"_cov_{b}_{a}")
 
+    return moments, _solved({c: F.col(f"_mean_{c}") for c in names}, cov)
+
+
+def _solved(mean: dict[str, Column], cov: Callable[[str, str], Column]) -> dict[str, Column]:
+    """Coefficients and r2 from means and covariances; the intercept builds on the slopes' columns."""
     system = [[cov(a, b) for b in LAGS] for a in LAGS]
     right = [cov(a, TARGET) for a in LAGS]
     slopes = {}
     for j, lag in enumerate(LAGS):
         swapped = [[right[i] if k == j else system[i][k] for k in range(3)] for i in range(3)]
         slopes[f"b_{lag}"] = ratio(_det(swapped), _det(system))
-    intercept, explained = F.col(f"_mean_{TARGET}"), F.lit(0.0)
+    intercept, explained = mean[TARGET], F.lit(0.0)
     for lag in LAGS:
-        intercept = intercept - F.col(f"b_{lag}") * F.col(f"_mean_{lag}")
+        intercept = intercept - F.col(f"b_{lag}") * mean[lag]
         explained = explained + F.col(f"b_{lag}") * cov(lag, TARGET)
-    return moments, {**slopes, "b_0": intercept, "r2": ratio(explained, cov(TARGET, TARGET))}
+    return {**slopes, "b_0": intercept, "r2": ratio(explained, cov(TARGET, TARGET))}
 
 
 COEFFICIENTS = ("n", "b_0", *[f"b_{lag}" for lag in LAGS], "r2")
@@ -101,6 +106,49 @@ def har_forecast(
     return _predicted(fitted).drop(*moments, *COEFFICIENTS)
 
 
+def har_forecast_rolling(
+    daily: DataFrame, by: Sequence[str] = ("symbol",), rows: int | None = None, min_fit: int = 60
+) -> DataFrame:
+    """Each day's forecast from a fit on the days before it only, with ``n`` and the coefficients.
+
+    rows     how many of the series' rows before the day are fitted; None: all
+    min_fit  complete rows that a fit needs; with fewer there is no forecast
+
+    Moments are running sums over the series, so a fit costs a row the same whatever its
+    window: a window is the difference of the sums at its two ends, and each row solves its
+    own 3 x 3 system. Values enter as differences from the series' first complete row, which
+    keeps the sums small and changes no coefficient.
+    """
+    names = (*LAGS, TARGET)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    line = Window.partitionBy(*by).orderBy("date")
+    so_far = line.rowsBetween(Window.unboundedPreceding, -1)
+    until_now = line.rowsBetween(Window.unboundedPreceding, 0)
+    complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in names])
+    first = F.first(F.when(complete, F.struct(*names)), ignorenulls=True).over(until_now)
+    apart = daily.withColumn("_first", first).withColumns(
+        {f"_x_{c}": F.when(complete, F.col(c) - F.col("_first")[c]) for c in names}
+    )
+    x = {c: F.col(f"_x_{c}") for c in names}
+    terms = {"n": F.when(complete, F.lit(1)), **{f"_s_{c}": x[c] for c in names}}
+    terms |= {f"_s_{a}_{b}": x[a] * x[b] for a, b in pairs}
+    summed = apart.withColumns({k: F.coalesce(F.sum(e).over(so_far), F.lit(0)) for k, e in terms.items()})
+    if rows is not None:
+        summed = summed.withColumns({k: F.col(k) - F.lag(k, rows, 0).over(line) for k in terms})
+    n = F.when(F.col("n") >= min_fit, F.col("n"))
+    moments = {f"_m_{c}": F.col(f"_s_{c}") / n for c in names}
+    centred = summed.withColumns(moments).withColumns(
+        {f"_c_{a}_{b}": F.col(f"_s_{a}_{b}") / n - F.col(f"_m_{a}") * F.col(f"_m_{b}") for a, b in pairs}
+    )
+
+    def cov(a: str, b: str) -> Column:
+        return F.col(f"_c_{a}_{b}" if (a, b) in pairs else f"_c_{b}_{a}")
+
+    mean = {c: F.col(f"_m_{c}") + F.col("_first")[c] for c in names}
+    fitted = _predicted(_with_coefficients(centred, _solved(mean, cov)))
+    return fitted.select(*daily.columns, *COEFFICIENTS, "pred_log_RV", "pred_RV", "resid")
+
+
 def apply_fit(daily: DataFrame, fit: DataFrame, by: Sequence[str] = ("symbol",)) -> DataFrame:
     """The same from coefficients that were fitted and stored before, such as on other days."""
     return _predicted(daily.join(fit.select(*by, *COEFFICIENTS), list(by), "left")).drop(*COEFFICIENTS)

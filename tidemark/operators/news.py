@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The theme patterns. The underscore is a one-character wildcard.
@@ -51,23 +53,107 @@ NEGATIVE_WORDS = (
 )
 
 
+# Runs of letters of the lower-cased text, in any script, are words.
+WORD_BREAK = r"[^\p{L}]+"
+
+LEXICON = "word string, weight int"
+# A lexicon of so many bytes at most is sent to every task; a larger one meets the words by a shuffle.
+BROADCAST_LEXICON = 16 << 20
+
+
+def words_of(text: str = "text") -> Column:
+    return F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), WORD_BREAK)
+
+
+def with_score(df: DataFrame) -> DataFrame:
+    return df.withColumn("score", (F.col("pos") - F.col("neg")) / (F.col("pos") + F.col("neg") + 1))
+
+
 def sentiment_columns(
     text: str = "text",
     positive: Sequence[str] = POSITIVE_WORDS,
     negative: Sequence[str] = NEGATIVE_WORDS,
 ) -> dict[str, Column]:
+    """The columns of ``with_sentiment`` as expressions; each of them counts for itself."""
+    hits = _hits(text, positive, negative)
+    pos, neg = hits["pos"], hits["neg"]
+    return {"pos": pos, "neg": neg, "score": (pos - neg) / (pos + neg + 1)}
+
+
+def _hits(text: str, positive: Sequence[str], negative: Sequence[str]) -> Column:
+    """Struct of the counts of both word lists, from one split of the text."""
+    zero = F.lit(0).cast("bigint")
+
+    def counted(so_far: Column, w: Column) -> Column:
+        hit = lambda lexicon: F.when(w.isin(*lexicon), 1).otherwise(0)
+        return F.struct((so_far["pos"] + hit(positive)).alias("pos"), (so_far["neg"] + hit(negative)).alias("neg"))
+
+    return F.aggregate(words_of(text), F.struct(zero.alias("pos"), zero.alias("neg")), counted)
+
+
+def with_sentiment(
+    docs: DataFrame,
+    text: str = "text",
+    positive: Sequence[str] = POSITIVE_WORDS,
+    negative: Sequence[str] = NEGATIVE_WORDS,
+) -> DataFrame:
     """Word hits in the whole text and the score (pos - neg) / (pos + neg + 1).
 
-    Words are the runs of letters of the lower-cased text, in any script. The words of a text are
-    tested against the lexicon in place: no explode and no shuffle.
+    For short word lists, which become part of the plan. A text is split once and its
+    words are counted in place: no explode and no shuffle.
     """
-    words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}]+")
+    hits = _hits(text, positive, negative)
+    return with_score(docs.withColumn("_hits", hits).select(*docs.columns, "_hits.pos", "_hits.neg"))
 
-    def hits(lexicon: Sequence[str]) -> Column:
-        return F.size(F.filter(words, lambda w: w.isin(*lexicon))).cast("bigint")
 
-    pos, neg = hits(positive), hits(negative)
-    return {"pos": pos, "neg": neg, "score": (pos - neg) / (pos + neg + 1)}
+def with_lexicon(
+    docs: DataFrame, lexicon: DataFrame, key: Sequence[str] = ("doc_id",), text: str = "text"
+) -> DataFrame:
+    """The same with a lexicon table (word, weight) of any size: positive weights count as pos, negative ones as neg.
+
+    ``key`` identifies a document. Of several weights of a word the largest counts; a word
+    of weight 0, or without one, does not. Words meet the lexicon by hash: it is broadcast
+    if its words' bytes stay under ``BROADCAST_LEXICON``, else both sides are shuffled.
+    Hits are added up within tasks before they are shuffled to their documents.
+    """
+    entries = (
+        lexicon.where(F.col("word").isNotNull()).groupBy("word").agg(F.max("weight").alias("weight")).where("weight <> 0")
+    )
+    size = entries.agg(F.sum(F.octet_length("word") + 16)).first()[0] or 0
+    entries = F.broadcast(entries) if size <= BROADCAST_LEXICON else entries
+    named = {k: f"_key_{k}" for k in key}
+    worded = docs.select(*[F.col(k).alias(n) for k, n in named.items()], F.explode(words_of(text)).alias("word"))
+    times = worded.join(entries, "word").groupBy(*named.values()).agg(
+        F.count_if(F.col("weight") > 0).alias("_pos"), F.count_if(F.col("weight") < 0).alias("_neg")
+    )
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(n)) for k, n in named.items()])
+    joined = docs.join(times, same, "left").drop(*named.values())
+    counts = {c: F.coalesce(f"_{c}", F.lit(0).cast("bigint")) for c in ("pos", "neg")}
+    return with_score(joined.withColumns(counts).drop("_pos", "_neg"))
+
+
+def register_sentiment(
+    spark: SparkSession,
+    name: str = "get_sentiment_score",
+    positive: Sequence[str] = POSITIVE_WORDS,
+    negative: Sequence[str] = NEGATIVE_WORDS,
+) -> None:
+    """Make the score a function of SQL: ``select get_sentiment_score(text)``.
+
+    A SQL function, so calls become plain expressions of the query's plan.
+    """
+    hit = lambda lexicon: " when w in (" + ", ".join("'" + w.replace("'", "\\'") + "'" for w in lexicon) + ") then "
+    spark.sql(f"""
+        create or replace temporary function {name}(body string) returns double
+        return aggregate(
+            split(lower(coalesce(body, '')), '[^\\\\p{{L}}]+'),
+            named_struct('pos', 0D, 'neg', 0D),
+            (h, w) -> named_struct(
+                'pos', h.pos + case{hit(positive)}1 else 0 end, 'neg', h.neg + case{hit(negative)}1 else 0 end
+            ),
+            h -> (h.pos - h.neg) / (h.pos + h.neg + 1)
+        )
+    """)
 
 
 def sentiment_daily(scored: DataFrame, by: Sequence[str] = ("asset",), day: str = "date") -> DataFrame:

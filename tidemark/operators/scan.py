@@ -105,11 +105,13 @@ def carry_scan(
     previous: Mapping[str, str] | None = None,
     running: Mapping[str, Column] | None = None,
     totals: Mapping[str, tuple[str, Column]] | None = None,
+    latest: Mapping[str, Column] | None = None,
     segment_rows: int | None = None,
 ) -> DataFrame:
     """Add order-dependent columns to ``df``.
 
     previous      {new: column}: the value one row earlier in the series
+    latest        {new: expression}: its last value that is not NULL, up to and including the row
     running       {new: expression}: sum up to and including the row; exact only for
                   integer and decimal expressions, whose sum has no rounding
     totals        {new: ("sum" | "min" | "max", expression)} over the whole series
@@ -120,7 +122,7 @@ def carry_scan(
     keeps the helper columns of ``segment_window``, so that later windows over it cost
     no further shuffle or sort; ``settle`` drops them.
     """
-    previous, running, totals = previous or {}, running or {}, totals or {}
+    previous, running, totals, latest = previous or {}, running or {}, totals or {}, latest or {}
     if segment_rows is None:
         cut = df.withColumn(SEGMENT, F.lit(0))
     else:
@@ -132,6 +134,7 @@ def carry_scan(
         *[F.max_by(c, key).alias(f"_last_{new}") for new, c in previous.items()],
         *[F.sum(e).alias(f"_sum_{new}") for new, e in running.items()],
         *[fold[how](e).alias(f"_part_{new}") for new, (how, e) in totals.items()],
+        *[F.max_by(e, F.when(e.isNotNull(), key)).alias(f"_known_{new}") for new, e in latest.items()],
     )
 
     series = Window.partitionBy(*by)
@@ -145,12 +148,13 @@ def carry_scan(
         *[F.lag(f"_last_{new}").over(so_far).alias(f"_src_{new}") for new in previous],
         *[F.sum(f"_sum_{new}").over(earlier).alias(f"_src_{new}") for new in running],
         *[fold[how](f"_part_{new}").over(series).alias(f"_src_{new}") for new, (how, _) in totals.items()],
+        *[F.last(f"_known_{new}", ignorenulls=True).over(earlier).alias(f"_src_{new}") for new in latest],
     )
     rows = cut.select(
         "*",
         F.lit(1).alias(IS_ROW),
         *[F.col(c).alias(f"_src_{new}") for new, c in previous.items()],
-        *[e.alias(f"_src_{new}") for new, e in running.items()],
+        *[e.alias(f"_src_{new}") for new, e in (*running.items(), *latest.items())],
     )
 
     within = segment_window(by, day, order)
@@ -160,9 +164,10 @@ def carry_scan(
             **{new: F.lag(f"_src_{new}").over(within) for new in previous},
             **{new: F.sum(f"_src_{new}").over(until) for new in running},
             **{new: F.first(f"_src_{new}").over(until) for new in totals},
+            **{new: F.last(f"_src_{new}", ignorenulls=True).over(until) for new in latest},
         }
     )
-    helpers = [f"_src_{new}" for new in (*previous, *running, *totals)]
+    helpers = [f"_src_{new}" for new in (*previous, *running, *totals, *latest)]
     return scanned.where(F.col(IS_ROW) == 1).drop(*helpers)
 
 

@@ -195,6 +195,23 @@ CTE["forecasts"] = """
          exp(b_0 + b_RV_d * RV_d + b_RV_w * RV_w + b_RV_m * RV_m) as pred_RV,
          log_RV - (b_0 + b_RV_d * RV_d + b_RV_w * RV_w + b_RV_m * RV_m) as resid
   from trades_har h join fit using (symbol) where RV_d is not null and RV_w is not null and RV_m is not null"""
+# Refits for each day, over the rows before it: all of them, or the last 500.
+CTE["days"] = "select *, row_number() over (partition by symbol order by date) as at from trades_har"
+CTE["fit_days"] = """
+  select * from days where log_RV is not null and RV_d is not null and RV_w is not null and RV_m is not null"""
+for _name, _since in (("expanding", 0), ("rolling", 500)):
+    CTE[f"{_name}_moments"] = "select d.symbol, d.date, count(f.at) as n, " + ", ".join(
+        [f"case when count(f.at) >= 60 then avg(f.{a}) end as m_{a}" for a in (*_XS, "log_RV")]
+        + [f"covar_pop(f.{a}, f.{b}) as c_{a}_{b}" for a in (*_XS, "log_RV") for b in (*_XS, "log_RV")]
+    ) + " from days d left join fit_days f on f.symbol = d.symbol and f.at < d.at " + (
+        f"and f.at >= d.at - {_since} " if _since else ""
+    ) + "group by d.symbol, d.date"
+    CTE[f"{_name}_slopes"] = CTE["slopes"].replace("from moments", f"from {_name}_moments")
+    CTE[f"{_name}_forecasts"] = f"""
+  select h.*, n, {', '.join(f'case when n >= 60 then b_{x} end as b_{x}' for x in _XS)},
+         m_log_RV - {' - '.join(f'b_{x} * m_{x}' for x in _XS)} as b_0,
+         m_log_RV + {' + '.join(f'b_{x} * (h.{x} - m_{x})' for x in _XS)} as pred_log_RV
+  from trades_har h join {_name}_slopes s on s.symbol = h.symbol and s.date = h.date"""
 CTE["returns"] = """
   select symbol, date, ln(nullif(close, 0) / nullif(lag(close) over (partition by symbol order by date), 0)) as ret
   from daily_bars"""
@@ -216,6 +233,33 @@ CTE["texts"] = f"""
          len(list_filter(w, lambda x: x in ({', '.join(f"'{x}'" for x in POSITIVE_WORDS)}))) as pos,
          len(list_filter(w, lambda x: x in ({', '.join(f"'{x}'" for x in NEGATIVE_WORDS)}))) as neg
   from (select *, regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}]+') as w from documents)"""
+CTE["lexicon"] = """
+  select word, cast(length(word) % 3 - 1 as integer) as weight
+  from (select distinct unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}]+')) as word from documents)
+  where regexp_full_match(word, '[a-z]+')"""
+CTE["lexicon_hits"] = """
+  select doc_id, count(*) filter (weight > 0) as pos, count(*) filter (weight < 0) as neg
+  from (select doc_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}]+')) as word from documents)
+  join lexicon using (word) group by doc_id"""
+CTE["gappy"] = """
+  select symbol, ts, tick_id, case when tick_id % 3 = 0 then price end as price, case when qty % 2 = 0 then qty end as qty
+  from ticks"""
+CTE["quotes"] = "select user_id, ts, event_id, value as quote from events where event_type = 'view'"
+CTE["deals"] = """
+  select user_id, ts, event_id as trade_id, value as price from events where event_type in ('purchase', 'signup')"""
+CTE["changes"] = """
+  select event_type as symbol, ts, case when user_id % 2 = 0 then 'bid' else 'ask' end as side, floor(value) as price,
+         case when k % 10 = 0 then 0.0::double else k::double end as quantity
+  from (select *, cast(json_extract_string(props, '$.k') as bigint) as k from events)"""
+CTE["grid"] = """
+  select unnest(generate_series(epoch_us(min(ts)) // 21600000000, (epoch_us(max(ts)) - 1) // 21600000000 + 1)) as g from changes"""
+CTE["standing"] = """
+  select symbol, g, side, price, arg_max(quantity, ts) as quantity
+  from grid join changes c on epoch_us(c.ts) <= g * 21600000000 group by all"""
+CTE["best"] = """
+  select symbol, make_timestamp(g * 21600000000) as timestamp, side, price, quantity,
+         row_number() over (partition by symbol, g, side order by case when side = 'bid' then -price else price end) - 1 as level
+  from standing where quantity > 0"""
 CTE["books"] = """
   select event_type as symbol, ts as timestamp, value, cast(json_extract_string(props, '$.k') as bigint) as k
   from events"""
@@ -405,6 +449,47 @@ oracle(
     "doc_sentiment", "select *, (pos - neg) / (pos + neg + 1) as score from texts ",
     doc_id=INT, asset=EXACT, pos=INT, neg=INT, score=NUM,
 )
+oracle(
+    "doc_sentiment_lexicon",
+    """select d.doc_id, coalesce(pos, 0) as pos, coalesce(neg, 0) as neg,
+              (coalesce(pos, 0) - coalesce(neg, 0)) / (coalesce(pos, 0) + coalesce(neg, 0) + 1) as score
+       from documents d left join lexicon_hits h on h.doc_id = d.doc_id""",
+    doc_id=INT, pos=INT, neg=INT, score=NUM,
+)
+oracle("doc_sentiment_sql", "select doc_id, (pos - neg) / (pos + neg + 1) as score from texts ", doc_id=INT, score=NUM)
+oracle(
+    "last_known_ticks",
+    """select symbol, tick_id, last_value(price ignore nulls) over w as price, last_value(qty ignore nulls) over w as qty
+       from gappy window w as (partition by symbol order by ts, tick_id rows unbounded preceding)""",
+    symbol=EXACT, tick_id=INT, price=EXACT, qty=EXACT,
+)
+oracle(
+    "asof_quotes",
+    """select trade_id, d.user_id, case when young then event_id end as asof_event_id,
+              case when young then quote end as asof_quote, case when young then q_ts end as asof_ts
+       from (select d.*, q.event_id, q.quote, q.ts as q_ts, q.ts + interval 3 days >= d.ts as young
+             from deals d asof left join quotes q on d.user_id = q.user_id and d.ts >= q.ts) d""",
+    trade_id=INT, user_id=INT, asof_event_id=INT, asof_quote=EXACT, asof_ts=TIME,
+)
+oracle(
+    "asof_quotes_cut",
+    """select trade_id, price, event_id as asof_event_id, quote as asof_quote
+       from deals d asof left join quotes q on d.ts >= q.ts""",
+    trade_id=INT, price=EXACT, asof_event_id=INT, asof_quote=EXACT,
+)
+oracle(
+    "book_levels_sampled", "select * from best where level < 10",
+    symbol=EXACT, timestamp=TIME, side=EXACT, level=INT, price=EXACT, quantity=EXACT,
+)
+oracle(
+    "book_summary_sampled",
+    """select *, best_ask - best_bid as spread, (bid_qty - ask_qty) / nullif(bid_qty + ask_qty, 0) as imbalance from (
+         select symbol, timestamp, coalesce(sum(quantity) filter (side = 'bid'), 0.0) as bid_qty,
+                coalesce(sum(quantity) filter (side = 'ask'), 0.0) as ask_qty,
+                max(price) filter (side = 'bid') as best_bid, min(price) filter (side = 'ask') as best_ask, count(*) as n_levels
+         from best where level < 20 group by 1, 2)""",
+    symbol=EXACT, timestamp=TIME, n_levels=INT, **_num("bid_qty", "ask_qty", "best_bid", "best_ask", "spread", "imbalance"),
+)
 oracle(
     "sentiment_daily",
     "select asset, date, avg((pos - neg) / (pos + neg + 1)) as sentiment, count(*) as texts from texts group by 1, 2",
@@ -562,6 +647,12 @@ oracle(
 oracle("har_fit", "select * from fit ", symbol=EXACT, n=INT, **_num("b_0", "b_RV_d", "b_RV_w", "b_RV_m", "r2"))
 oracle("har_forecast", """select h.symbol, h.date, h.log_RV, f.pred_log_RV, f.pred_RV, f.resid
        from trades_har h left join forecasts f using (symbol, date)""", **_KEY, **_num("log_RV", "pred_log_RV", "pred_RV", "resid"))
+_SIX = ", ".join(f"round({c}, 6) as {c}" for c in ("b_0", "b_RV_d", "b_RV_w", "b_RV_m", "pred_log_RV"))
+for _name in ("expanding", "rolling"):
+    oracle(
+        f"har_forecast_{_name}", f"select symbol, date, n, {_SIX} from {_name}_forecasts ",
+        **_KEY, n=INT, **dict.fromkeys(("b_0", "b_RV_d", "b_RV_w", "b_RV_m", "pred_log_RV"), EXACT),
+    )
 oracle(
     "forecast_quantiles",
     """select symbol, date, pred_log_RV + p10 as q10, pred_log_RV + p50 as q50, pred_log_RV + p90 as q90
@@ -632,6 +723,10 @@ def _dm(diff: str, horizon: int) -> str:
 
 
 _DM = {"symbol": EXACT, "n": INT, **_num("mean_diff", "dm_stat", "p_value")}
+oracle(
+    "dm_test_rolling",
+    _dm("pow(log_RV - pred_log_RV, 2) - pow(log_RV - RV_d, 2)", 5).replace("from forecasts ", "from expanding_forecasts "), **_DM,
+)
 oracle("dm_test", _dm("pow(log_RV - pred_log_RV, 2) - pow(log_RV - RV_d, 2)", 5), **_DM)
 oracle(
     "dm_test_qlike",
@@ -679,13 +774,11 @@ oracle(
 CTE["closed_bars"] = """
   select * from bars where open_time + interval 1 hour <= (select max(ts) - interval 10 minutes from events)"""
 CTE |= _vpin("cv", "closed_bars", "open_time", "", "close", "volume", "500.0")
-oracle(
-    "stream_vpin",
-    """select * from cv_scored s where bucket < (select max(bucket) from cv_scored l where l.symbol = s.symbol)""",
-    symbol=EXACT, bucket=INT, timestamp=TIME, **_num("dP", "V_total", "sigma_dP", "V_buy", "V_sell", "VPIN"),
-)
-oracle(
-    "stream_bars",
-    "select *, '1 hour' as interval from closed_bars ",
-    **_BAR, interval=EXACT,
-)
+for _name in ("stream_vpin", "stream_vpin_keyed"):
+    oracle(
+        _name,
+        """select * from cv_scored s where bucket < (select max(bucket) from cv_scored l where l.symbol = s.symbol)""",
+        symbol=EXACT, bucket=INT, timestamp=TIME, **_num("dP", "V_total", "sigma_dP", "V_buy", "V_sell", "VPIN"),
+    )
+for _name in ("stream_bars", "stream_bars_redelivered"):
+    oracle(_name, "select *, '1 hour' as interval from closed_bars ", **_BAR, interval=EXACT)

@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import bars, daily, depth, evaluate, model, news, panel, profiling, sizing, vpin
+from ..operators import asof, bars, daily, depth, evaluate, model, news, panel, profiling, sizing, vpin
 from ..operators.scan import SEGMENT_ROWS
 from ..session import shared_folder
 from ..sources import landing, tables
-from ..streaming import jobs
+from ..streaming import jobs, keyed
 from ..streaming import vpin as stream
 from . import testdata as data
 
@@ -237,6 +237,32 @@ def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(with_vpin.join(events, "date", "left"))
 
 
+# As-of scans over ticks
+
+
+@query
+def last_known_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing prices and quantities of every tick carried on, in segments of 20 rows."""
+    filled = asof.last_known(data.gappy_ticks(spark, sf_dir), ["price", "qty"], ties=["tick_id"], segment_rows=20)
+    return shown(filled, "symbol", "tick_id", "price", "qty", exact=("price", "qty"))
+
+
+@query
+def asof_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each trade with its account's latest quote of the last three days."""
+    quotes, trades = data.quotes_and_trades(spark, sf_dir)
+    matched = asof.asof_match(trades, quotes, ["quote", "event_id"], ["user_id"], right_ties=["event_id"], max_age="3 days")
+    return shown(matched, "trade_id", "user_id", "asof_event_id", "asof_quote", "asof_ts", exact=("asof_quote",))
+
+
+@query
+def asof_quotes_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each trade with the latest quote of any account: one series, in segments of 20 rows."""
+    quotes, trades = data.quotes_and_trades(spark, sf_dir)
+    matched = asof.asof_match(trades, quotes, ["quote", "event_id"], [], right_ties=["event_id"], segment_rows=20)
+    return shown(matched, "trade_id", "price", "asof_event_id", "asof_quote", exact=("price", "asof_quote"))
+
+
 # News and text
 
 
@@ -253,10 +279,8 @@ def panic_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def doc_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = data.table(spark, sf_dir, "documents")
-    return shown(docs.select("doc_id", F.col("source").alias("asset"), "text").withColumns(
-        news.sentiment_columns()
-    ), "doc_id", "asset", "pos", "neg", "score")
+    docs = data.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("asset"), "text")
+    return shown(news.with_sentiment(docs), "doc_id", "asset", "pos", "neg", "score")
 
 
 @query
@@ -266,7 +290,24 @@ def sentiment_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")).alias("date"),
         "text",
     )
-    return shown(news.sentiment_daily(docs.withColumns(news.sentiment_columns())))
+    return shown(news.sentiment_daily(news.with_sentiment(docs)))
+
+
+@query
+def doc_sentiment_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text against a lexicon table: all plain words that occur, weighed by their length."""
+    docs = data.table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = docs.select(F.explode(news.words_of()).alias("word")).where("word rlike '^[a-z]+$'").distinct()
+    lexicon = words.withColumn("weight", F.length("word") % 3 - 1)
+    return shown(news.with_lexicon(docs, lexicon), "doc_id", "pos", "neg", "score")
+
+
+@query
+def doc_sentiment_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score as a function of SQL."""
+    news.register_sentiment(spark)
+    scored = spark.sql("select doc_id, get_sentiment_score(text) as score from {docs}", docs=data.table(spark, sf_dir, "documents"))
+    return shown(scored)
 
 
 # Landed documents
@@ -305,7 +346,7 @@ def depth_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def depth_imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(depth.depth_imbalance(landing.depth(data.landed_books(spark, sf_dir))))
+    return shown(depth.book_imbalance(data.landed_books(spark, sf_dir)))
 
 
 @query
@@ -313,6 +354,21 @@ def book_imbalance_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(depth.book_imbalance(data.landed_books(spark, sf_dir), levels=5))
 
 
+def _sampled_book(spark: SparkSession, sf_dir: str, levels: int) -> DataFrame:
+    return depth.book_from_updates(data.book_updates(spark, sf_dir), "6 hours", levels, ties=["event_id"])
+
+
+@query
+def book_levels_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best levels a side every six hours, from single changes of the book."""
+    return shown(_sampled_book(spark, sf_dir, 10), exact=("price", "quantity"))
+
+
+@query
+def book_summary_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(depth.book_summary(_sampled_book(spark, sf_dir, depth.BOOK_LEVELS)))
+
+
 @query
 def vol_index_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(landing.vol_index(data.landed_vol_index(spark, sf_dir), ["o_orderkey"]))
@@ -490,6 +546,34 @@ def har_forecast_oos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(every, "symbol", "date", "log_RV", "pred_log_RV", "pred_RV", "resid")
 
 
+def _rolling(spark: SparkSession, sf_dir: str, rows: int | None) -> DataFrame:
+    """To six decimals: sums over a window and a refit round differently."""
+    f = model.har_forecast_rolling(_trade_history(spark, sf_dir), rows=rows)
+    six = lambda c: F.round(c, 6).alias(c)
+    days = f.select("symbol", "date", "n", six("b_0"), six("b_RV_d"), six("b_RV_w"), six("b_RV_m"), six("pred_log_RV"))
+    return shown(days, exact=tuple(days.columns))
+
+
+@query
+def har_forecast_expanding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each day's forecast from a fit on all days before it."""
+    return _rolling(spark, sf_dir, None)
+
+
+@query
+def har_forecast_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each day's forecast from a fit on the 500 days before it."""
+    return _rolling(spark, sf_dir, 500)
+
+
+@query
+def dm_test_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The refitted regression against the last value, on the days both forecast."""
+    f = model.har_forecast_rolling(_trade_history(spark, sf_dir)).where("pred_log_RV is not null and log_RV is not null")
+    ours, walk = evaluate.squared_error("log_RV", "pred_log_RV"), evaluate.squared_error("log_RV", "RV_d")
+    return shown(evaluate.diebold_mariano(f, ours, walk, horizon=5))
+
+
 @query
 def forecast_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     bands = model.forecast_quantiles(_forecasts(spark, sf_dir))
@@ -606,3 +690,25 @@ def stream_vpin(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_folder(spark, "stream-vpin")
     stream.drain_vpin(bar_stream, out, f"{out}/checkpoint", 500.0)
     return shown(stream.read_buckets(spark, out))
+
+
+@query
+def stream_bars_redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same bars from a stream that delivers every third tick twice."""
+    once = _tick_stream(spark, sf_dir)
+    twice = once.unionByName(_tick_stream(spark, sf_dir).where("tick_id % 3 = 0"))
+    closed = jobs.stream_bars(twice, "1 hour", "10 minutes", order=["ts", "tick_id"], trade_id="tick_id")
+    out = shared_folder(spark, "stream-bars-again")
+    jobs.drain_to_parquet(closed, f"{out}/data", f"{out}/checkpoint")
+    return shown(spark.read.schema(closed.schema).parquet(f"{out}/data"), exact=OHLCV)
+
+
+@query
+def stream_vpin_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks to closed bars, and those to volume buckets in keyed state."""
+    bar_stream = jobs.stream_bars(_tick_stream(spark, sf_dir), "1 hour", "10 minutes", order=["ts", "tick_id"])
+    out = shared_folder(spark, "stream-keyed")
+    jobs.drain_to_parquet(bar_stream, f"{out}/bars", f"{out}/bars-checkpoint")
+    closed = spark.readStream.schema(bar_stream.schema).parquet(f"{out}/bars")
+    keyed.drain_keyed_vpin(closed, f"{out}/buckets", f"{out}/checkpoint", 500.0)
+    return shown(spark.read.schema(stream.BUCKETS).parquet(f"{out}/buckets"))

@@ -69,6 +69,35 @@ def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quotes_and_trades(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``events`` as two streams of one account each: views are quotes, purchases and signups trades."""
+    events = _events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    quotes = events.where("event_type = 'view'").select("user_id", "ts", "event_id", F.col("value").alias("quote"))
+    trades = events.where("event_type in ('purchase', 'signup')").select("user_id", "ts", F.col("event_id").alias("trade_id"), F.col("value").alias("price"))
+    return quotes, trades
+
+
+def gappy_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks of which two in three lack a price and one in two a quantity."""
+    return ticks(spark, sf_dir).select(
+        "symbol", "ts", "tick_id",
+        F.when(F.col("tick_id") % 3 == 0, F.col("price")).alias("price"),
+        F.when(F.col("qty") % 2 == 0, F.col("qty")).alias("qty"),
+    )
+
+
+def book_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as changes of a book: one in ten takes its level away."""
+    return _events(spark, sf_dir).select(
+        F.col("event_type").alias("symbol"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        "event_id",
+        F.when(F.col("user_id") % 2 == 0, "bid").otherwise("ask").alias("side"),
+        F.floor("value").cast("double").alias("price"),
+        F.when(F.col("k") % 10 == 0, 0.0).otherwise(F.col("k").cast("double")).alias("quantity"),
+    )
+
+
 def gkg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as news-event records."""
     kind = F.col("event_type")

@@ -16,12 +16,19 @@ def stream_bars(
     delay: str = "10 minutes",
     by: Sequence[str] = ("symbol",),
     order: Sequence[str] = ("ts",),
+    trade_id: str | None = None,
 ) -> DataFrame:
     """Bars of a tick stream, each emitted once when the watermark has passed its end.
 
     Ticks later than ``delay`` are dropped. State is one row per open (series, interval).
+    With ``trade_id`` a tick that is delivered again counts once: of a series' ticks with one
+    id only the first is taken, as long as the repeats lie within ``delay`` of it. That
+    adds a row of state per tick, which goes with the watermark.
     """
-    return tick_bars(ticks.withWatermark("ts", delay), interval, by, order)
+    marked = ticks.withWatermark("ts", delay)
+    if trade_id:
+        marked = marked.dropDuplicatesWithinWatermark([*by, trade_id])
+    return tick_bars(marked, interval, by, order)
 
 
 def stream_book_imbalance(
@@ -41,8 +48,12 @@ def stream_depth_imbalance(
     return depth_imbalance(depth.withWatermark("timestamp", delay), [*by, "timestamp"], levels)
 
 
-def drain_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Process what is there in append mode, then stop; a rerun continues from the checkpoint."""
+def drain_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> dict[str, int]:
+    """Process what is there in append mode, then stop; a rerun continues from the checkpoint.
+
+    Returns how many rows came in (``input``), came too late for the watermark (``late``)
+    and were dropped as repeats (``repeated``).
+    """
     query = (
         stream.writeStream.format("parquet")
         .outputMode("append")
@@ -52,6 +63,17 @@ def drain_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> None:
         .start()
     )
     query.awaitTermination()
+    return drained_counts(query.recentProgress)
+
+
+def drained_counts(progress: Sequence) -> dict[str, int]:
+    counts = {"input": 0, "late": 0, "repeated": 0}
+    for step in progress:
+        counts["input"] += step["numInputRows"]
+        for operator in step["stateOperators"]:
+            counts["late"] += operator["numRowsDroppedByWatermark"]
+            counts["repeated"] += operator["customMetrics"].get("numDroppedDuplicateRows", 0)
+    return counts
 
 
 def file_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int | None = None) -> DataFrame:
