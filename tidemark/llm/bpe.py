@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Callable, Sequence
 from functools import cached_property
 from heapq import heapify, heappop, heappush
@@ -32,11 +33,14 @@ from pyspark.sql import DataFrame
 
 from .text import appended, name, whole
 
-LEAF_BYTES = 24  # shorter strings are merged directly
-LEAF_IDS = 1024  # ids that decoding joins at once
+LEAF_BYTES = 6  # strings of no more are merged directly, and remembered
+SHORT_BYTES = 24  # up to here merging looks at all pairs again, beyond it keeps a heap
+LEAF_IDS = 1 << 16  # ids whose bytes decoding gathers at once
 CACHE = 1 << 18  # encoded strings of a kind that a task remembers
 # White space before a blank and none but white space after it: the run belongs together.
 UNSAFE = re.compile(r"[\s\x1c-\x1f\x85\xa0] (?:[\s\x1c-\x1f\x85\xa0]|$)").search
+# Letters only: one piece under a pattern in which a blank and letters are one.
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
 NONE = 1 << 60  # no rank
 
 
@@ -44,20 +48,21 @@ class Memo(dict):
     """Remembers what a function gave for short strings, in two generations.
 
     When the younger one is full it becomes the older one, and what is looked up again
-    moves back, so strings that are common stay.
+    moves back, so strings that are common stay. Strings with a line break are seldom
+    seen again and not kept.
     """
 
-    def __init__(self, of: Callable[[str], bytes]):
-        self.of, self.older = of, {}
+    def __init__(self, of: Callable, size: int = CACHE):
+        self.of, self.older, self.half = of, {}, size // 2
 
-    def __missing__(self, key: str) -> bytes:
+    def __missing__(self, key):
         value = self.older.get(key)
         if value is None:
             value = self.of(key)
-            if len(key) > 64:
+            if len(key) > 64 or (isinstance(key, str) and "\n" in key):
                 return value
-        if len(self) >= CACHE // 2:
-            self.older = dict(self)
+        if len(self) >= self.half:
+            self.older = self.copy()
             self.clear()
         self[key] = value
         return value
@@ -69,8 +74,10 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, pattern
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces = Memo(lambda p: np.array(self.encode_bytes(p.encode()), np.int32).tobytes())
-        self.stretches = Memo(lambda w: b"".join(map(self.pieces.__getitem__, self.split(" " + w))))
+        self.leaves = Memo(self.merged)  # of byte strings
+        self.pieces = Memo(self.packed_piece)
+        self.stretches = Memo(self.packed_stretch, 2 * CACHE)
+        self.letters = LETTERS if r" ?\p{L}+" in pattern else lambda _: None
 
     def __getstate__(self) -> tuple:
         return self.ranks, self.pattern
@@ -92,7 +99,7 @@ class Vocabulary:
     def merged(self, s: bytes) -> list[int]:
         """Merge the pair of lowest rank, the leftmost of equals, as long as there is one."""
         get = self.ranks.get
-        if len(s) > LEAF_BYTES:
+        if len(s) > SHORT_BYTES:
             return self.merged_long(s)
         parts = [s[i : i + 1] for i in range(len(s))]
         pairs = [get(s[i : i + 2], NONE) for i in range(len(s) - 1)]
@@ -150,7 +157,7 @@ class Vocabulary:
         while True:
             left, right = min(left, len(x)), min(right, len(y))
             window = [*x[len(x) - left :], *y[:right]]
-            middle = self.merged(b"".join([self.strings[i] for i in window]))
+            middle = self.leaves[b"".join([self.strings[i] for i in window])]
             fits_left = left == len(x) or self.holds(x[len(x) - left - 1], middle[0])
             fits_right = right == len(y) or self.holds(middle[-1], y[right])
             if fits_left and fits_right:
@@ -160,10 +167,24 @@ class Vocabulary:
     def encode_bytes(self, s: bytes, whole: bool = True) -> list[int]:
         if whole and s in self.ranks:
             return [self.ranks[s]]
-        if len(s) <= LEAF_BYTES:
-            return self.merged(s)
-        half = len(s) // 2
-        return self.join(self.encode_bytes(s[:half], False), self.encode_bytes(s[half:], False))
+        n = len(s)
+        if n <= LEAF_BYTES:
+            return self.leaves[s]
+        half = n // 2
+        if n <= 2 * LEAF_BYTES:
+            x, y = self.leaves[s[:half]], self.leaves[s[half:]]
+        else:
+            x, y = self.encode_bytes(s[:half], False), self.encode_bytes(s[half:], False)
+        return x + y if self.pairs.get((x[-1], y[0])) else self.join(x, y)
+
+    def packed_piece(self, piece: str) -> bytes:
+        return array("i", self.encode_bytes(piece.encode())).tobytes()
+
+    def packed_stretch(self, word: str) -> bytes:
+        """The ids of a blank and what follows up to the next one."""
+        if self.letters(word):
+            return self.packed_piece(" " + word)
+        return b"".join(map(self.pieces.__getitem__, self.split(" " + word)))
 
     def packed(self, text: str) -> bytes:
         """The ids of a text as 32-bit numbers.
@@ -180,11 +201,29 @@ class Vocabulary:
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.packed(text), np.int32).tolist()
 
+    @cached_property
+    def flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes of all strings, where each id's start, how many they are: -1 for an id that is none)."""
+        sizes = np.array([-1 if s is None else len(s) for s in self.strings], np.int64)
+        starts = np.cumsum(np.maximum(sizes, 0)) - np.maximum(sizes, 0)
+        return np.frombuffer(b"".join(s or b"" for s in self.strings), np.uint8), starts, sizes
+
+    def sizes_of(self, ids: np.ndarray) -> np.ndarray:
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.strings) or self.flat[2][ids].min() < 0):
+            raise ValueError("an id is not in the vocabulary")
+        return self.flat[2][ids]
+
     def decode(self, ids: Sequence[int]) -> bytes:
-        if len(ids) <= LEAF_IDS:
-            return b"".join(map(self.strings.__getitem__, ids))
-        half = len(ids) // 2
-        return self.decode(ids[:half]) + self.decode(ids[half:])
+        """The bytes of a leaf of ids are gathered at once; leaves are joined up the tree."""
+        if len(ids) > LEAF_IDS:
+            half = len(ids) // 2
+            return self.decode(ids[:half]) + self.decode(ids[half:])
+        ids = np.asarray(ids, np.int64)
+        sizes = self.sizes_of(ids)
+        text, starts, _ = self.flat
+        ends = np.cumsum(sizes)
+        at = np.repeat(starts[ids] - (ends - sizes), sizes)
+        return text[at + np.arange(len(at))].tobytes()
 
 
 def read_vocabulary(path: str, pattern: str) -> Vocabulary:
@@ -215,11 +254,15 @@ def decoded(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", keep=
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
     def make():
-        decode = shared.value.decode
+        v = shared.value
 
         def work(lists: pa.Array) -> list[pa.Array]:
-            ids = (x.values.to_numpy().tolist() if x.is_valid else None for x in lists)
-            return [pa.array([None if x is None else decode(x) for x in ids], pa.binary())]
+            ids = lists.flatten().to_numpy(zero_copy_only=False)
+            text = v.decode(ids)
+            counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            ends = np.append(0, np.cumsum(v.sizes_of(ids)))[np.append(0, np.cumsum(counts))].tolist()
+            known = lists.is_valid().to_pylist()
+            return [pa.array([text[a:b] if k else None for a, b, k in zip(ends, ends[1:], known)], pa.binary())]
 
         return work
 
