@@ -8,10 +8,13 @@ beside. A turn reads ``<|turn|>role<|body|>content<|end|>``.
 Escaping is reversible: in texts and roles, a control string gets a backslash after its
 first character, also if it has some already, so no text can hold a mark and taking one
 backslash away restores it. Control strings are ``<|...|>`` and the ``<s>``, ``[INST]``
-and ``<<SYS>>`` families.
+and ``<<SYS>>`` families. Texts between two placeholders are escaped together, as one text:
+a control string that is spread over several parts is none the less one. A mark begins with
+``<`` and ends with ``>``, with which no control string goes on or begins, so a text and
+a mark beside it form none.
 
 Defined results: NULL texts and roles are empty, NULL parts and parts of unknown kind add
-nothing, NULL lists are empty; rows without a conversation id form one conversation. Turns
+nothing and part no texts, NULL lists are empty; rows without a conversation id form one conversation. Turns
 go by number, NULL first; rows with one number go by role and content, and repeated rows
 are turns of their own. Empty tables give empty results; other columns are not looked at.
 """
@@ -59,18 +62,27 @@ def expanded_tokens(part: Column) -> Column:
     return F.coalesce(tokens, F.lit(0)).cast("bigint")
 
 
+# Stand for an attachment while texts are escaped; where a text holds one itself it is spelt otherwise until then.
+SPOT, SPELT = "\ue000", "\ue001"
+
+
 def visit(part: Column) -> Column:
-    """(piece, is_text, kind, ref, tokens) of a part."""
-    is_text = F.coalesce(part["kind"] == "text", F.lit(False))
-    attached = F.coalesce(part["kind"].isin(*KINDS), F.lit(False))
-    mark = F.when(attached, F.concat(F.lit("<|"), part["kind"], F.lit("|>"))).otherwise("")
-    return F.struct(
-        F.when(is_text, escaped(F.coalesce(part["text"], F.lit("")))).otherwise(mark).alias("piece"),
-        is_text.alias("is_text"),
-        F.when(attached, part["kind"]).alias("kind"),
-        part["ref"].alias("ref"),
-        F.when(attached, expanded_tokens(part)).otherwise(F.lit(0).cast("bigint")).alias("tokens"),
-    )
+    """A part's piece before escaping: its text, or the spot of its attachment."""
+    text = F.replace(F.coalesce(part["text"], F.lit("")), F.lit(SPELT), F.lit(f"{SPELT}b"))
+    text = F.replace(text, F.lit(SPOT), F.lit(f"{SPELT}a"))
+    return F.when(part["kind"] == "text", text).when(part["kind"].isin(*KINDS), SPOT).otherwise("")
+
+
+def runs(parts: Column) -> Column:
+    """The escaped texts before, between and after the attachments: one more than there are attachments."""
+    joined = F.split(escaped(F.array_join(F.transform(parts, visit), "")), SPOT, -1)
+    restored = lambda t: F.replace(F.replace(t, F.lit(f"{SPELT}a"), F.lit(SPOT)), F.lit(f"{SPELT}b"), F.lit(SPELT))
+    return F.transform(joined, restored)
+
+
+def attachments_of(parts: Column) -> Column:
+    attached = F.filter(parts, lambda p: F.coalesce(p["kind"].isin(*KINDS), F.lit(False)))
+    return F.transform(attached, lambda p: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), expanded_tokens(p).alias("tokens")))
 
 
 def formatted(
@@ -80,38 +92,45 @@ def formatted(
     """A row for each conversation: conv_id, n_turns, formatted, loss_mask, attachments, attachment_tokens.
 
     ``loss_mask`` lists (start, length) in characters of ``formatted`` of each text of
-    ``loss_role``; ``attachments`` lists (turn, kind, ref, tokens) in the placeholders' order.
+    ``loss_role``, texts without an attachment between them as one; ``attachments`` lists (turn, kind, ref, tokens) in the placeholders' order.
     """
     role = F.coalesce(name(role_col), F.lit(""))
     rows = turns.select(
         name(conv_col).alias("conv_id"),
         name(turn_col).alias("turn"),
         role.alias("role"),
-        F.transform(F.coalesce(name(parts_col), F.array().cast(f"array<{PART}>")), visit).alias("pieces"),
+        F.coalesce(name(parts_col), F.array().cast(f"array<{PART}>")).alias("parts"),
     )
+    rows = rows.select("conv_id", "turn", "role", runs(F.col("parts")).alias("runs"), attachments_of(F.col("parts")).alias("marks"))
     head = F.concat(F.lit(TURN), escaped(F.col("role")), F.lit(BODY))
-    rows = rows.withColumn("content", F.array_join(F.transform("pieces", lambda p: p["piece"]), "")).withColumn("head", head)
+    mark = lambda m: F.coalesce(F.concat(F.lit("<|"), m["kind"], F.lit("|>")), F.lit(""))
+    pieces = F.zip_with("runs", "marks", lambda r, m: F.struct(r.alias("text"), mark(m).alias("mark")))
+    rows = rows.withColumn("pieces", pieces).withColumn("head", head)
+    rows = rows.withColumn("content", F.array_join(F.transform("pieces", lambda p: F.concat(p["text"], p["mark"])), ""))
     rows = rows.withColumn("string", F.concat("head", "content", F.lit(END)))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "content")
     rows = rows.withColumn("at", F.row_number().over(order)).withColumn(
         "start",
         F.coalesce(F.sum(F.length("string")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.length("head"),
     )
-    # Where in the turn each piece starts: the lengths of those before it.
-    before = lambda i: F.aggregate(
-        F.slice("pieces", F.lit(1), i), F.lit(0).cast("bigint"), lambda n, p: n + F.length(p["piece"])
-    )
-    spans = F.transform(
-        "pieces",
-        lambda p, i: F.struct((F.col("start") + before(i)).alias("start"), F.length(p["piece"]).cast("bigint").alias("length"), p["is_text"].alias("loss")),
+    # Where each text starts: the lengths up to there, added up once.
+    sizes = F.transform("pieces", lambda p: F.struct(F.length(p["text"]).alias("text"), F.length(p["mark"]).alias("mark")))
+    nothing = F.array().cast("array<struct<start:bigint,length:bigint>>")
+    spans = F.aggregate(
+        sizes,
+        F.struct(F.col("start").cast("bigint").alias("at"), nothing.alias("spans")),
+        lambda done, p: F.struct(
+            (done["at"] + p["text"] + p["mark"]).alias("at"),
+            F.when(p["text"] > 0, F.concat(done["spans"], F.array(F.struct(done["at"].alias("start"), p["text"].cast("bigint").alias("length")))))
+            .otherwise(done["spans"]).alias("spans"),
+        ),
+        lambda done: done["spans"],
     )
-    masked = F.when(F.col("role") == loss_role, F.filter(spans, lambda s: s["loss"] & (s["length"] > 0)))
+    masked = F.when(F.col("role") == loss_role, spans)
     attached = F.transform(
-        F.filter("pieces", lambda p: p["kind"].isNotNull()),
-        lambda p: F.struct(F.col("at").alias("turn"), p["kind"].alias("kind"), p["ref"].alias("ref"), p["tokens"].alias("tokens")),
+        "marks", lambda p: F.struct(F.col("at").alias("turn"), p["kind"].alias("kind"), p["ref"].alias("ref"), p["tokens"].alias("tokens"))
     )
-    empty = F.array().cast("array<struct<start:bigint,length:bigint,loss:boolean>>")
-    whole = rows.withColumn("loss", F.coalesce(masked, empty)).withColumn("attached", attached).groupBy("conv_id").agg(
+    whole = rows.withColumn("loss", F.coalesce(masked, nothing)).withColumn("attached", attached).groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.struct("at", "string", "loss", "attached"))).alias("turns")
     )
     attachments = F.flatten(F.transform("turns", lambda t: t["attached"]))
@@ -119,9 +138,7 @@ def formatted(
         "conv_id",
         F.size("turns").cast("bigint").alias("n_turns"),
         F.array_join(F.transform("turns", lambda t: t["string"]), "").alias("formatted"),
-        F.transform(
-            F.flatten(F.transform("turns", lambda t: t["loss"])), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"))
-        ).alias("loss_mask"),
+        F.flatten(F.transform("turns", lambda t: t["loss"])).alias("loss_mask"),
         attachments.alias("attachments"),
         F.aggregate(attachments, F.lit(0).cast("bigint"), lambda n, a: n + a["tokens"]).alias("attachment_tokens"),
     )
