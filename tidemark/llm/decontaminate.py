@@ -6,17 +6,26 @@ occur, intersection over union.
 
 Windows are placed where they can match at all: every similar window shares a shingle
 with its item, so each shingle of a document that some item has places windows of that
-item's size, once for each position the shingle has in items of that size. A window is
-compared with every item of its size that it shares a shingle with: counts of shingle
-hashes give a similarity that is never too low, and what reaches 0.8 by them is verified
-on the shingles themselves. The SimHash distance is reported and decides nothing.
+item's size, once for each position the shingle has in items of that size. Each window
+gets the SimHash of its shingles, and the items of its size within ``RADIUS`` bits are
+found by a multi-index: the 64 bits are cut into ``BLOCKS`` blocks, of which at least one
+differs by no more than RADIUS // BLOCKS bits, so items are entered under each of their
+blocks with every such change, and windows look their blocks up as they are. That finds
+all items within the radius; what it finds is verified on the shingles themselves.
+
+A SimHash says little about few shingles. Items whose shingles weigh as much as fewer than
+``LONG`` even ones are looked up by the shingles they share with a window, whatever their
+distance. At similarity 0.8 a bit of a long item differs with probability 0.151, so the
+radius misses about one such window in 3,000; at 0.9 less than one in ten million.
 
 Defined results: words are cut after lower-casing A-Z only; items of fewer than five
 words have one shingle, all their words; items and documents without words match nothing;
 a window that would reach over an end of the document is moved inside, and a document
 shorter than an item is one window. Of several windows that hold one item the most
-similar and then the first is reported. Repeated documents and items report what a single
-one does. Empty tables give empty results; other columns are not looked at.
+similar and then the first is reported. Items are told apart by their words: several
+under one id report the best of them, one under several ids, NULL among them, reports
+each id. Repeated documents and items report what a single one does. Empty tables give
+empty results; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -31,7 +40,9 @@ from .text import WORD, if_small, lower_ascii, name, whole
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 19  # bits of 64 that nearly all matches of long items stay within; nothing is dropped by it
+RADIUS = 19  # bits of 64 that matches of long items stay within
+BLOCKS = 10
+LONG = 16  # even shingles from which an item is looked up by its SimHash
 ITEM_SHINGLES = 1_000_000  # distinct item shingles that are broadcast: 8 bytes each; more are joined by a shuffle
 
 
@@ -62,10 +73,41 @@ def simhash(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def prepared_items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(item_id, size, width, words) of each item with words."""
-    rows = items.select(name(id_col).alias("item_id"), words_of(whole(text_col)).alias("words"))
-    rows = rows.where(F.size("words") > 0).distinct()
-    return rows.select("item_id", F.size("words").alias("size"), F.least(F.size("words"), F.lit(SHINGLE)).alias("width"), "words")
+    """(item_id, item, size, width, words) of each item with words; ``item`` is the digest of its words."""
+    rows = items.select(name(id_col).alias("item_id"), words_of(whole(text_col)).alias("words")).where(F.size("words") > 0)
+    digest = F.unhex(F.sha2(F.array_join("words", " "), 256))
+    width = F.least(F.size("words"), F.lit(SHINGLE))
+    return rows.distinct().select("item_id", digest.alias("item"), F.size("words").alias("size"), width.alias("width"), "words")
+
+
+def block_bits() -> list[tuple[int, int]]:
+    """(first bit, bits) of each block."""
+    ends = [round(64 * k / BLOCKS) for k in range(BLOCKS + 1)]
+    return [(a, b - a) for a, b in zip(ends, ends[1:])]
+
+
+def block_values(f: Column) -> Column:
+    """One (number, value) for each block of a fingerprint."""
+    cut = lambda at, n: F.shiftrightunsigned(f, at).bitwiseAND(F.lit((1 << n) - 1))
+    return F.array(*[F.struct(F.lit(k).alias("number"), cut(*b).alias("value")) for k, b in enumerate(block_bits())])
+
+
+def near_block_values(f: Column) -> Column:
+    """The same with every change of up to RADIUS // BLOCKS bits of a block."""
+    assert RADIUS // BLOCKS == 1
+    flips = F.array(*[F.array(*[F.lit(m).cast("bigint") for m in (0, *(1 << i for i in range(n)))]) for _, n in block_bits()])
+    changed = lambda b: F.transform(
+        F.get(flips, b["number"]), lambda m: F.struct(b["number"].alias("number"), b["value"].bitwiseXOR(m).alias("value"))
+    )
+    return F.flatten(F.transform(block_values(f), changed))
+
+
+def within_radius(marked: DataFrame, items: DataFrame, key: list[str]) -> DataFrame:
+    """(key, item, hamming): the windows (key, f) and the items (item, size, g) of their size at most RADIUS bits apart."""
+    left = marked.select(*key, "f", F.explode(block_values(F.col("f"))).alias("b")).select(*key, "f", "b.*")
+    right = items.select("item", "size", "g", F.explode(near_block_values(F.col("g"))).alias("b")).select("item", "size", "g", "b.*")
+    hamming = F.bit_count(F.col("f").bitwiseXOR(F.col("g"))).alias("hamming")
+    return left.join(right, ["size", "number", "value"]).select(*key, "item", hamming).where(F.col("hamming") <= RADIUS).distinct()
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -101,10 +143,11 @@ def matches(
 
     ``digest`` is the hash of the document's text: with the id it tells which row it was.
     """
-    bench = stored(prepared_items(items, item_id_col, item_text_col), "items")
+    named = stored(prepared_items(items, item_id_col, item_text_col), "items")
+    bench = named.drop("item_id").dropDuplicates(["item", "size"])
     rows = keyed(docs, id_col, text_col)
     item_shingles = bench.select(
-        "item_id", "size", "width", F.posexplode(shingle_hashes(hashed(F.col("words")), F.col("width"))).alias("at", "h")
+        "item", "size", "width", F.posexplode(shingle_hashes(hashed(F.col("words")), F.col("width"))).alias("at", "h")
     )
     placed = stored(windows(rows, item_shingles), "windows")
     holders = stored(placed.select("doc_id", "digest").distinct(), "holders")
@@ -118,37 +161,50 @@ def matches(
     cut = stored(cut, "cut")
     key = ["doc_id", "digest", "start", "length", "size", "width"]
     hashes = cut.select(*key, F.explode(shingle_hashes(hashed(F.col("words")), F.col("width"))).alias("h"))
-    item_counts = item_shingles.groupBy("item_id", "size", "h").agg(F.count("*").alias("y"))
-    shared = hashes.groupBy(*key, "h").agg(F.count("*").alias("x")).join(item_counts, ["size", "h"])
-    shared = shared.groupBy(*key, "item_id").agg(F.sum(F.least("x", "y")).alias("shared"))
+    item_counts = item_shingles.groupBy("item", "size", "h").agg(F.count("*").alias("y"))
+    weight = item_counts.groupBy("item", "size").agg((F.pow(F.sum("y"), 2) / F.sum(F.col("y") * F.col("y"))).alias("even"))
+    prints = simhash(item_shingles, "item", "size").withColumnRenamed("f", "g").join(weight, ["item", "size"])
+    prints = stored(prints, "item-prints")
+    marked = stored(simhash(hashes, *key), "window-prints")
+    found = within_radius(marked, prints.where(F.col("even") >= LONG), key)
+    short = prints.where(F.col("even") < LONG).select("item", "size", "g")
+    if not short.isEmpty():
+        found = found.unionByName(sharing(hashes, marked, item_counts, short, key, similarity))
+    return verified(stored(found, "candidates"), cut, bench, named, similarity)
+
+
+def sharing(
+    hashes: DataFrame, marked: DataFrame, item_counts: DataFrame, short: DataFrame, key: list[str], similarity: float
+) -> DataFrame:
+    """(key, item, hamming) of windows and short items whose shared shingle hashes give the similarity: never too low."""
+    counts = item_counts.join(short, ["item", "size"])
+    shared = hashes.groupBy(*key, "h").agg(F.count("*").alias("x")).join(counts, ["size", "h"])
+    shared = shared.groupBy(*key, "item", "g").agg(F.sum(F.least("x", "y")).alias("shared"))
     of = lambda words: F.greatest(F.col(words) - F.col("width") + 1, F.lit(1))
     enough = shared.where(F.col("shared") / (of("length") + of("size") - F.col("shared")) >= similarity).alias("e")
-    marked = simhash(hashes, *key).alias("m")
-    item_marked = simhash(item_shingles, "item_id", "size").withColumnRenamed("f", "g")
+    m = marked.alias("m")
     same = [F.col(f"e.{c}").eqNullSafe(F.col(f"m.{c}")) for c in key]
-    near = (
-        enough.join(marked, reduce(Column.__and__, same)).select("e.*", "m.f").join(item_marked, ["item_id", "size"])
-        .select(*key, "item_id", F.bit_count(F.col("f").bitwiseXOR(F.col("g"))).alias("hamming"))
-    )
-    return verified(stored(near, "candidates"), cut, bench, similarity)
+    hamming = F.bit_count(F.col("m.f").bitwiseXOR(F.col("e.g"))).alias("hamming")
+    return enough.join(m, reduce(Column.__and__, same)).select(*[F.col(f"e.{c}") for c in key], "e.item", hamming)
 
 
-def verified(near: DataFrame, cut: DataFrame, bench: DataFrame, similarity: float) -> DataFrame:
-    """Exact weighted similarity on the shingles' words; the best window of each document and item."""
+def verified(near: DataFrame, cut: DataFrame, bench: DataFrame, named: DataFrame, similarity: float) -> DataFrame:
+    """Exact weighted similarity on the shingles' words; the best window of each document and item id."""
     strings = F.transform(
         shingle_places(F.size("words"), F.col("width")), lambda i: F.array_join(F.slice("words", i, F.col("width")), " ")
     )
     key = ["doc_id", "digest", "start", "length", "size", "width"]
     a, b = near.alias("a"), cut.alias("b")
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key]
-    pair = [*key, "item_id", "hamming"]
+    pair = [*key, "item", "hamming"]
     window = a.join(b, reduce(Column.__and__, same)).select("a.*", "b.words").select(*pair, F.explode(strings).alias("s"), F.lit(1).alias("side"))
-    item = near.join(bench.select("item_id", "words"), "item_id").select(*pair, F.explode(strings).alias("s"), F.lit(-1).alias("side"))
+    item = near.join(bench.select("item", "size", "words"), ["item", "size"]).select(*pair, F.explode(strings).alias("s"), F.lit(-1).alias("side"))
     counts = window.unionByName(item).groupBy(*pair, "s").agg(
         F.count_if(F.col("side") == 1).alias("x"), F.count_if(F.col("side") == -1).alias("y")
     )
     found = counts.groupBy(*pair).agg((F.sum(F.least("x", "y")) / F.sum(F.greatest("x", "y"))).alias("similarity"))
-    best = found.where(F.col("similarity") >= similarity).groupBy("doc_id", "digest", "item_id").agg(
+    ids = named.select("item_id", "item", "size").distinct()
+    best = found.where(F.col("similarity") >= similarity).join(ids, ["item", "size"]).groupBy("doc_id", "digest", "item_id").agg(
         F.min(F.struct((-F.col("similarity")).alias("less"), "start", "length", "hamming")).alias("w")
     )
     return best.select(
