@@ -1,11 +1,12 @@
 """Licence scan by a positional index of rare words.
 
-Templates are licence notices as word sequences. The index holds, for each template, its
-words of highest inverse document frequency (counted over all documents) with their
-positions. A file's occurrences of indexed words are looked up; each posting proposes a
-place for its template, the file position less the template position, and a place that
-all of the template's indexed words agree on is verified: the mandatory key phrase must
-stand there word by word, and enough of the other words.
+Templates are licence notices as word sequences. The index holds, for each template, the
+words of its mandatory key phrase that have the highest inverse document frequency
+(counted over all documents), with their positions. A file's occurrences of indexed words
+are looked up; each posting proposes a place for its template, the file position less the
+template position, and a place that all of the template's indexed words agree on is
+verified: the key phrase must stand there word by word, and enough of the other words.
+So whatever differs outside the key phrase counts against that share only.
 
 Defined results: NULL and empty texts have no words and no matches; each place of a
 template is one match, places may overlap. Words are cut after lower-casing A-Z only.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .text import WORD, appended, whole
 
-RARE_WORDS = 3  # indexed words of a template
+RARE_WORDS = 3  # indexed words of a template's key phrase
 ENOUGH = 0.8  # share of a template's words that must stand where it has them
 
 # Phrases that are labels wherever their words stand consecutively.
@@ -54,6 +55,34 @@ NOTICES = (
     ("[creative commons attribution] 4 0 international license", "cc-by"),
     ("[permission to use copy modify and or distribute this software] for any purpose", "isc"),
     ("this is free and unencumbered software [released into the public domain]", "unlicense"),
+    (
+        "[permission is hereby granted free of charge] to any person obtaining a copy of this software and associated "
+        "documentation files the software to deal in the software without restriction including without limitation the "
+        "rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
+        "persons to whom the software is furnished to do so subject to the following conditions",
+        "mit",
+    ),
+    (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
+        "granted provided that [the above copyright notice and this permission notice appear in all copies]",
+        "isc",
+    ),
+    (
+        "this program is free software you can redistribute it and or modify it under the terms of the "
+        "[gnu general public license as published by the free software foundation] either version 3 of the license "
+        "or at your option any later version",
+        "gpl-3.0",
+    ),
+    (
+        "[you may not use this file except in compliance with the license] you may obtain a copy of the license at "
+        "http www apache org licenses license 2 0",
+        "apache-2.0",
+    ),
+    (
+        "this source code form is subject to the terms of the [mozilla public license] v 2 0 if a copy of the mpl was not "
+        "distributed with this file you can obtain one at http mozilla org mpl 2 0",
+        "mpl-2.0",
+    ),
 )
 
 find_words = re.compile(WORD.encode()).findall
@@ -100,7 +129,7 @@ class Index:
         self.postings: dict[bytes, list[tuple[int, int]]] = {}
         self.needed = []
         for t, entry in enumerate(self.entries):
-            rarest = sorted(range(len(entry.words)), key=lambda i: (-idf.get(entry.words[i], 0.0), i))[:RARE_WORDS]
+            rarest = sorted(range(*entry.key), key=lambda i: (-idf.get(entry.words[i], 0.0), i))[:RARE_WORDS]
             self.needed.append(len(rarest))
             for i in rarest:
                 self.postings.setdefault(entry.words[i], []).append((t, i))
