@@ -8,7 +8,8 @@ snapshot's exact entries. Groups that result are checked byte by byte.
 Defined results: NULL counts as the empty text; of equal texts the row with the largest
 id stays, a NULL id being smaller than any other; repeated rows (same id, same text) all
 report the same ``keep_id`` and count one by one in ``group_size``, and ``deduplicated``
-keeps one of them. Empty tables give empty results. Other columns are not looked at.
+keeps one of them. Ids are whole numbers, or text that reads as one; any other text is an
+error. Empty tables give empty results. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -146,19 +147,27 @@ def take_snapshot(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def screened(batch: DataFrame, snapshot: Snapshot) -> DataFrame:
-    """The groups of a batch that the snapshot's filters let through: all it holds, few others."""
+    """The groups of a batch that the snapshot's filters let through: all it holds, few others.
+
+    A batch that is larger than its snapshot is dealt further: each bucket's filter, which
+    is small, goes to several groups, so that none holds more than about ``BUCKET_KEYS``
+    digests of the batch.
+    """
+    salts = max(1, -(-batch.count() // (BUCKET_KEYS * snapshot.buckets)))
 
     def screen(filters: pa.Table, rows: pa.Table) -> pa.Table:
-        rows = rows.drop_columns(["bucket"])
+        rows = rows.drop_columns(["bucket", "salt"])
         if not filters.num_rows or not rows.num_rows:
             return rows.slice(0, 0)
         f = filters.to_pylist()[0]
         keys = rows.column("key").to_numpy().view(np.uint64)
         return rows.filter(pa.array(in_filter(keys, f["seed"], f["segment"], f["segments"], f["cells"])))
 
+    filters = snapshot.filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = bucketed(batch, snapshot.buckets).withColumn("salt", F.expr(f"cast(pmod(xxhash64(digest), {salts}) as int)"))
     return (
-        snapshot.filters.groupBy("bucket")
-        .cogroup(bucketed(batch, snapshot.buckets).groupBy("bucket"))
+        filters.groupBy("bucket", "salt")
+        .cogroup(dealt.select("bucket", "salt", *batch.columns).groupBy("bucket", "salt"))
         .applyInArrow(screen, ENTRY)
     )
 
