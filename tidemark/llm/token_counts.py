@@ -200,7 +200,18 @@ class Counter:
         if len(text) <= CHUNK:
             return self.between(text)
         maps = [self.map_of(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)]
-        return self.close(self.scan(maps)[-1])
+        return self.close(self.fold(maps))
+
+    def fold(self, maps: list[StateMap]) -> StateMap:
+        """The map of all chunks together: the scan's last one, by the tree's upward half alone.
+
+        Neighbours are composed pair by pair, so of a text without a sure boundary no more
+        than one copy is held besides the one being made.
+        """
+        while len(maps) > 1:
+            pairs = [self.compose(x, y) for x, y in zip(maps[::2], maps[1::2], strict=False)]
+            maps = pairs + maps[len(pairs) * 2 :]
+        return maps[0]
 
     def scan(self, maps: list[StateMap]) -> list[StateMap]:
         """All prefixes' maps: each step composes with the map that ends ``step`` chunks before."""
