@@ -9,12 +9,11 @@ above 0.
 Every word and every pair of all documents counts. Counts are a written table of pairs:
 its sums by second word are the word counts, those by first word the contexts. Scoring
 folds each text to (text, pair, count) and joins that to the pairs' log probabilities by
-a shuffle, so no task and no driver holds a model. Words and texts travel as 64-bit
-hashes, a pair as a mix of its words' hashes.
+a shuffle, so no task and no driver holds a model. Words travel as 64-bit hashes and a
+pair as those of its words; a text is known by two hashes of different kinds.
 
-``fit`` with bounds gives models that are small enough to be sent to tasks instead: the
-most frequent words (others are one unknown word) and the most frequent pairs among them;
-pairs that fall short back off, with the weight that their context has left.
+The joins' keys are words and pairs. What a frequent word or pair has is one row for each
+text or pair it is in; Spark splits such a partition of a join (adaptive skew join).
 
 Defined results: NULL, empty texts and texts without words have no tokens, losses 0 and
 score 0; a NULL mark is not target; without target documents both models are the same
@@ -26,8 +25,7 @@ through; a column named like an output is replaced. Empty tables give empty resu
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,106 +35,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .text import WORD, appended, name, small_batches, whole
+from .text import WORD, name, small_batches, whole
 
-MAX_WORDS = 1 << 14
-MAX_PAIRS = 1 << 20
-MIN_PAIR = 3  # a rarer pair says more about the document it is in than about the language
 DISCOUNT = 0.75
 SEED = 42
 REMEMBERED = 200_000  # words whose hash a task keeps
-HISTOGRAM = 1 << 16  # counts that are told apart in choosing a threshold
 
 find_words = re.compile(WORD.encode()).findall
 
 
-@dataclass
-class Vocabulary:
-    words: dict[bytes, int]  # numbers from 1 on; 0 is the unknown word and the start of a text
-
-    @property
-    def size(self) -> int:
-        return len(self.words) + 1
-
-    def numbers(self, text: bytes) -> np.ndarray:
-        get = self.words.get
-        return np.array([get(w, 0) for w in find_words(text.lower())], np.int64)
-
-
-def threshold(counts: DataFrame, most: int) -> int:
-    """The smallest count that at most ``most`` rows reach; from a histogram of a fixed size."""
-    sizes = counts.groupBy(F.least("n", F.lit(HISTOGRAM)).alias("n")).count().collect()
-    total, least = 0, HISTOGRAM + 1
-    for row in sorted(sizes, key=lambda r: -r["n"]):
-        total += row["count"]
-        if total > most:
-            break
-        least = row["n"]
-    return least
-
-
-def word_counts(docs: DataFrame, target: Column, text_col: str) -> DataFrame:
-    """(w, n, n_target) over all documents."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both: tuple[Counter, Counter] = Counter(), Counter()
-            for text, marked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                both[marked].update(find_words(text.lower()))
-            words = list(both[0].keys() | both[1].keys())
-            marked = [both[1][w] for w in words]
-            every = [both[0][w] + n for w, n in zip(words, marked, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(every, pa.int64()), pa.array(marked, pa.int64())], names=["w", "n", "n_target"])
-
-    rows = docs.select(whole(text_col).cast("binary"), F.coalesce(target, F.lit(False)))
-    return rows.mapInArrow(count, "w binary, n bigint, n_target bigint").groupBy("w").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-
-
-def pair_counts(docs: DataFrame, target: Column, vocabulary: Vocabulary, text_col: str) -> DataFrame:
-    """(pair, n, n_target) of neighbouring words over all documents; a pair is first * size + second."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
-        for batch in batches:
-            keys = [[], []]
-            for text, marked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                numbers = v.numbers(text)
-                keys[marked].append(np.concatenate([[0], numbers[:-1]]) * v.size + numbers if len(numbers) else numbers)
-            parts = [np.concatenate([np.zeros(0, np.int64), *k]) for k in keys]
-            pairs, place = np.unique(np.concatenate(parts), return_inverse=True)
-            every = np.bincount(place, minlength=len(pairs))
-            marked = np.bincount(place[len(parts[0]) :], minlength=len(pairs))
-            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(every.astype(np.int64)), pa.array(marked.astype(np.int64))], names=["pair", "n", "n_target"])
-
-    rows = docs.select(whole(text_col).cast("binary"), F.coalesce(target, F.lit(False)))
-    out = rows.mapInArrow(count, "pair bigint, n bigint, n_target bigint")
-    return out.groupBy("pair").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-
-
-@dataclass
-class Models:
-    vocabulary: Vocabulary
-    pairs: np.ndarray  # sorted
-    seen: np.ndarray  # log probability of each pair, for (background, target)
-    left: np.ndarray  # log weight that each context has left, likewise
-    word: np.ndarray  # log probability of each word, likewise
-
-    def losses(self, text: bytes) -> tuple[int, float, float]:
-        """Tokens, and the mean loss of background and target."""
-        now = self.vocabulary.numbers(text)
-        if not len(now):
-            return 0, 0.0, 0.0
-        before = np.concatenate([[0], now[:-1]])
-        logs = self.left[:, before] + self.word[:, now]
-        if len(self.pairs):
-            keys = before * self.vocabulary.size + now
-            at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-            logs = np.where(self.pairs[at] == keys, self.seen[:, at], logs)
-        background, target = -logs.mean(axis=1)
-        return len(now), float(background), float(target)
-
-
 class Hashes(dict):
     """Hashes of words; 0 is left for the start of a text."""
 
@@ -145,8 +52,8 @@ class Hashes(dict):
         return h
 
 
-def folded_pairs(docs: DataFrame, group: Column, text_col: str) -> DataFrame:
-    """(g, a, b, c): how often word b follows word a in texts of a group, folded in each batch."""
+def folded_pairs(docs: DataFrame, group: dict[str, Column], text_col: str) -> DataFrame:
+    """(*group, a, b, c): how often word b follows word a in texts of a group, folded in each batch."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -162,18 +69,19 @@ def folded_pairs(docs: DataFrame, group: Column, text_col: str) -> DataFrame:
                     hashes.clear()
             none = np.zeros(0, np.int64)
             a, b = np.concatenate([none, *firsts]), np.concatenate([none, *seconds])
-            g = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), sizes)
-            order = np.lexsort((b, a, g))
-            a, b, g = a[order], b[order], g[order]
+            keys = [np.repeat(c.to_numpy(zero_copy_only=False), sizes) for c in batch.columns[1:]]
+            order = np.lexsort((b, a, *keys))
+            columns = [c[order] for c in (*keys, a, b)]
             new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (g[1:] != g[:-1])
+            new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
             at = np.flatnonzero(new)
             c = np.diff(np.append(at, len(a)))
-            yield pa.RecordBatch.from_arrays([pa.array(g[at]), pa.array(a[at]), pa.array(b[at]), pa.array(c)], names=["g", "a", "b", "c"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[at]) for x in columns), pa.array(c)], names=names)
 
     small_batches(docs)
-    rows = docs.select(whole(text_col).cast("binary"), group.cast("bigint"))
-    return rows.mapInArrow(count, "g bigint, a bigint, b bigint, c bigint")
+    names = [*group, "a", "b", "c"]
+    rows = docs.select(whole(text_col).cast("binary"), *[g.cast("bigint") for g in group.values()])
+    return rows.mapInArrow(count, ", ".join(f"{n} bigint" for n in names))
 
 
 @dataclass
@@ -191,7 +99,7 @@ class Tables:
         return self.pairs.groupBy("b").agg(F.sum("n").alias("word"), F.sum("n_target").alias("word_target"))
 
     def priced(self, pairs: DataFrame) -> DataFrame:
-        """(pair, background, target): log probabilities of pairs (a, b, n, n_target)."""
+        """(a, b, background, target): log probabilities of pairs (a, b, n, n_target)."""
 
         def log(side: str, tokens: int) -> Column:
             of = lambda c: F.coalesce(c + side, F.lit(0)).cast("double")
@@ -200,17 +108,12 @@ class Tables:
             return F.log(F.greatest(of("n") - DISCOUNT, F.lit(0.0)) / context + (1 - of("used") / context) * word)
 
         rows = pairs.join(self.contexts(), "a", "left").join(self.words(), "b", "left")
-        return rows.select(mixed().alias("pair"), log("", self.tokens[0]).alias("background"), log("_target", self.tokens[1]).alias("target"))
-
+        return rows.select("a", "b", log("", self.tokens[0]).alias("background"), log("_target", self.tokens[1]).alias("target"))
 
-def mixed() -> Column:
-    """One number for the pair (a, b)."""
-    turned = F.shiftleft("b", 1).bitwiseOR(F.shiftrightunsigned("b", 63))
-    return F.col("a").bitwiseXOR(turned)
 
-
-def fit_tables(docs: DataFrame, target: Column, text_col: str) -> Tables:
-    rows = folded_pairs(docs, F.coalesce(target, F.lit(False)).cast("int"), text_col)
+def fit(docs: DataFrame, target: Column, text_col: str = "text") -> Tables:
+    """Both models, from counts over all of ``docs``."""
+    rows = folded_pairs(docs, {"g": F.coalesce(target, F.lit(False)).cast("int")}, text_col)
     marked = F.when(F.col("g") == 1, F.col("c")).otherwise(F.lit(0).cast("bigint"))
     pairs = stored(rows.groupBy("a", "b").agg(F.sum("c").alias("n"), F.sum(marked).alias("n_target")), "lm-pairs")
     found = pairs.groupBy("b").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
@@ -218,10 +121,16 @@ def fit_tables(docs: DataFrame, target: Column, text_col: str) -> Tables:
     return Tables(pairs, (found["n"] or 0, found["n_target"] or 0), found["words"] + 1)
 
 
-def scored_by_tables(docs: DataFrame, models: Tables, text_col: str, keep: list[str], counted: bool) -> DataFrame:
+def scored(docs: DataFrame, models: Tables, text_col: str = "text", keep: Sequence[str] | None = None, counted: bool = False) -> DataFrame:
+    """Append lm_tokens, background_loss, target_loss and lm_score of every whole text.
+
+    ``counted`` says that the tables were fitted on these very documents, so that no pair of theirs is missing.
+    """
+    keep = docs.columns if keep is None else keep
     outputs = ("lm_tokens", "background_loss", "target_loss", "lm_score")
     kept = [c for c in keep if c.lower() not in outputs]
-    key = F.xxhash64(whole(text_col))
+    key = {"g": F.xxhash64(whole(text_col)), "g2": F.xxhash64(F.lit(SEED), whole(text_col))}
+    keys = [c.alias(n) for n, c in key.items()]
     rows = folded_pairs(docs, key, text_col)
     pairs = models.pairs
     if not counted:
@@ -229,78 +138,16 @@ def scored_by_tables(docs: DataFrame, models: Tables, text_col: str, keep: list[
         new = rows.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
         pairs = pairs.unionByName(new.withColumns({"n": none, "n_target": none}))
     priced = stored(models.priced(pairs), "lm-priced")
-    sums = rows.select("g", mixed().alias("pair"), "c").join(priced, "pair").groupBy("g").agg(
+    sums = rows.join(priced, ["a", "b"]).groupBy(*key).agg(
         F.sum("c").alias("c"), F.sum(F.col("c") * F.col("background")).alias("background"), F.sum(F.col("c") * F.col("target")).alias("target")
     )
     # Copies of a text meet in one sum: means stay, tokens are those of all copies.
-    copies = docs.groupBy(key.alias("g")).agg(F.count("*").alias("copies"))
+    copies = docs.groupBy(*keys).agg(F.count("*").alias("copies"))
     loss = lambda c: (-F.col(c) / F.col("c"))
-    losses = stored(sums.join(copies, "g").select("g", F.expr("c div copies").alias("n"), loss("background").alias("x"), loss("target").alias("y")), "lm-losses")
-    whole_rows = docs.select(F.struct(*[name(c) for c in kept] or [F.lit(0).alias("_none")]).alias("kept"), key.alias("g"))
+    losses = stored(sums.join(copies, list(key)).select(*key, F.expr("c div copies").alias("n"), loss("background").alias("x"), loss("target").alias("y")), "lm-losses")
+    whole_rows = docs.select(F.struct(*[name(c) for c in kept] or [F.lit(0).alias("_none")]).alias("kept"), *keys)
     number = lambda c: F.coalesce(c, F.lit(0.0))
-    return whole_rows.join(losses, "g", "left").select(
+    return whole_rows.join(losses, list(key), "left").select(
         *[F.col("kept")[c].alias(c) for c in kept], F.coalesce("n", F.lit(0).cast("bigint")).alias("lm_tokens"),
         number("x").alias("background_loss"), number("y").alias("target_loss"), number(F.col("x") - F.col("y")).alias("lm_score"),
     )
-
-
-def fit(
-    docs: DataFrame, target: Column, text_col: str = "text", max_words: int | None = None, max_pairs: int | None = None
-) -> Models | Tables:
-    """Both models, from counts over all of ``docs``: whole ones as tables, or with bounds ones for the tasks."""
-    if max_words is None and max_pairs is None:
-        return fit_tables(docs, target, text_col)
-    max_words, max_pairs = max_words or MAX_WORDS, max_pairs or MAX_PAIRS
-    words = stored(word_counts(docs, target, text_col), "lm-words")
-    totals = words.agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).first()
-    frequent = words.where(F.col("n") >= threshold(words, max_words)).orderBy(F.desc("n"), "w").toPandas()
-    vocabulary = Vocabulary({bytes(w): i + 1 for i, w in enumerate(frequent["w"])})
-    size = vocabulary.size
-    word = np.ones((2, size))
-    for k, c in enumerate(("n", "n_target")):
-        known = frequent[c].to_numpy(np.float64)
-        word[k, 0] += (totals[c] or 0) - known.sum()
-        word[k, 1:] += known
-    word /= word.sum(axis=1, keepdims=True)
-
-    pairs = stored(pair_counts(docs, target, vocabulary, text_col), "lm-pairs")
-    contexts = pairs.groupBy(F.expr(f"pair div {size}L").alias("first")).agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).toArrow()
-    least = max(MIN_PAIR, threshold(pairs, max_pairs))
-    kept = pairs.where(F.col("n") >= least).orderBy("pair").toArrow()  # at most max_pairs rows of three numbers
-    keys = kept["pair"].to_numpy()
-    first, second = (keys // size).astype(np.int32), (keys % size).astype(np.int32)
-    seen, left = np.empty((2, len(keys)), np.float32), np.ones((2, size))
-    for k, c in enumerate(("n", "n_target")):  # one model after the other: the driver holds few arrays at once
-        context = np.zeros(size)
-        context[contexts["first"].to_numpy()] = contexts[c].to_numpy()
-        share = kept[c].to_numpy().astype(np.float64)
-        np.maximum(share - DISCOUNT, 0, out=share)
-        share /= np.maximum(context, 1)[first]
-        left[k] -= np.bincount(first, share, size)
-        share += left[k][first] * word[k][second]
-        seen[k] = np.log(share)
-    return Models(vocabulary, keys, seen, np.log(left), np.log(word))
-
-
-def scored(docs: DataFrame, models: Models | Tables, text_col: str = "text", keep=None, counted: bool = False) -> DataFrame:
-    """Append lm_tokens, background_loss, target_loss and lm_score of every whole text.
-
-    ``counted`` says that the tables were fitted on these very documents, so that no pair of theirs is missing.
-    """
-    if isinstance(models, Tables):
-        return scored_by_tables(docs, models, text_col, docs.columns if keep is None else list(keep), counted)
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-
-    def make():
-        losses = shared.value.losses
-
-        def work(texts: pa.Array) -> list[pa.Array]:
-            rows = [losses(t) for t in texts.to_pylist()]
-            n, background, target = zip(*rows, strict=True) if rows else ((), (), ())
-            score = [b - t for b, t in zip(background, target, strict=True)]
-            return [pa.array(n, pa.int64()), *(pa.array(c, pa.float64()) for c in (background, target, score))]
-
-        return work
-
-    outputs = "lm_tokens bigint, background_loss double, target_loss double, lm_score double"
-    return appended(docs, whole(text_col).cast("binary"), make, outputs, keep)
