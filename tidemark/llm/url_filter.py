@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from ..session import stored
 from .text import if_small, lower_ascii, name
 
-MIN_SUPPORT = 0.002  # share of the labelled pages that a rule's tokens and label need
-MIN_PAGES = 20  # and at least so many pages, or few labels would make rules of chance
+MIN_PAGES = 20  # bad pages that a rule needs, whatever the size of the table: fewer would make rules of chance
 MIN_CONFIDENCE = 0.5
+INDEX_RULES = 20_000  # rules that are broadcast, some hundred bytes each; more meet the URLs by a shuffle
 BAD = "label=bad"
 
 # Fixed values: (verdict, host, path).
@@ -69,7 +69,7 @@ def tokens_of(url: Column) -> Column:
 
 def mined(
     pages: DataFrame, labels: DataFrame, page_id: str = "page_id", url_col: str = "url", label_id: str = "doc_id",
-    bad: Column | None = None, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
+    bad: Column | None = None, min_pages: int = MIN_PAGES, min_confidence: float = MIN_CONFIDENCE,
 ) -> DataFrame:
     """(tokens, confidence, support): combinations that tell bad pages, the smallest of equal strength."""
     bad = (F.col("quality") == 0) if bad is None else bad
@@ -81,7 +81,7 @@ def mined(
     labelled = baskets.count()
     if not labelled:
         return pages.sparkSession.createDataFrame([], schema)
-    least = min(1.0, max(min_support, MIN_PAGES / labelled))
+    least = min(1.0, min_pages / labelled)
     model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where(F.array_contains("consequent", BAD))
     rules = stored(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "rules")
@@ -103,11 +103,16 @@ def posted(rules: DataFrame, pages: DataFrame, url_col: str = "url") -> DataFram
     )
 
 
+def url_key(url: Column) -> Column:
+    """32 bytes for a URL of any length."""
+    return F.unhex(F.sha2(url, 256))
+
+
 def fired(pages: DataFrame, index: DataFrame, url_col: str = "url") -> DataFrame:
-    """(url, confidence) of the URLs that a mined rule matches."""
-    urls = pages.select(name(url_col).alias("url"), tokens_of(name(url_col)).alias("own"))
-    looked = urls.select("url", "own", F.explode("own").alias("token")).join(if_small(index), "token")
-    return looked.where(F.size(F.array_except("tokens", "own")) == 0).groupBy("url").agg(F.max("confidence").alias("confidence"))
+    """(key, confidence) of the URLs that a mined rule matches."""
+    urls = pages.select(url_key(name(url_col)).alias("key"), tokens_of(name(url_col)).alias("own"))
+    looked = urls.select("key", "own", F.explode("own").alias("token")).join(if_small(index, INDEX_RULES), "token")
+    return looked.where(F.size(F.array_except("tokens", "own")) == 0).groupBy("key").agg(F.max("confidence").alias("confidence"))
 
 
 def hand_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> Column:
@@ -126,7 +131,8 @@ def judged(
     """(page_id, url, host, path, rule, verdict, confidence) for each row of ``pages``."""
     index = stored(posted(rules, pages, url_col), "url-index")
     hits = stored(fired(pages, index, url_col), "fired")
-    rows = pages.select(name(page_id).alias("page_id"), name(url_col).alias("url")).join(if_small(hits), "url", "left")
+    rows = pages.select(name(page_id).alias("page_id"), name(url_col).alias("url"), url_key(name(url_col)).alias("key"))
+    rows = rows.join(if_small(hits), "key", "left")
     rows = rows.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     rows = rows.withColumn("hand", hand_rule(F.col("host"), F.col("path"), by_hand))
     method = F.when(F.col("confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
