@@ -1,5 +1,6 @@
 """Toxicity, licences, chat, decontamination, LM scores and URL rules."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -164,42 +165,12 @@ def test_leaks_of_short_items(spark):
     assert max(r["hamming"] for r in rows) > decontaminate.RADIUS
 
 
-def test_lm_against_plain_loops(spark, odd, empty):
-    rng = np.random.default_rng(2)
-    words = [f"w{i}" for i in range(12)]
-    rows = [(i, " ".join(rng.choice(words[: 6 + 6 * (i % 2)], 40)), bool(i % 2)) for i in range(40)] + [(90, None, None), (91, "", True)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, target boolean")
-    models = lm_score.fit(docs, F.col("target"), max_words=9, max_pairs=30)
-    got = {r["doc_id"]: r for r in lm_score.scored(docs, models).collect()}
-    every, vocabulary = [(t or "").split() for _, t, _ in rows], set(models.vocabulary.words)
-    assert len(vocabulary) <= 9 and len(models.pairs) <= 30
-    map_of = lambda ws: [w if w.encode() in vocabulary else "" for w in ws]
-    size = len(vocabulary) + 1
-    kept = {(int(p) // size, int(p) % size) for p in models.pairs}
-    number = {"": 0} | {w.decode(): i for w, i in models.vocabulary.words.items()}
-    for side, chosen in ((0, rows), (1, [r for r in rows if r[2]])):
-        uni, bi, context = Counter(), Counter(), Counter()
-        for _, t, _ in chosen:
-            ws = [number[w] for w in map_of((t or "").split())]
-            uni.update(ws), bi.update(zip([0, *ws], ws, strict=False)), context.update([0, *ws][: len(ws)])
-        total = sum(uni.values()) + size
-        p_word = lambda w: (uni[w] + 1) / total  # noqa: B023, E731
-        over = lambda v, w: max(bi[v, w] - lm_score.DISCOUNT, 0) if (v, w) in kept else 0  # noqa: B023, E731
-
-        def p(v, w):
-            if not context[v]:  # noqa: B023
-                return p_word(w)  # noqa: B023
-            left = 1 - sum(over(v, x) for x in range(size)) / context[v]  # noqa: B023
-            return over(v, w) / context[v] + left * p_word(w)  # noqa: B023
-
-        for v in range(size):
-            assert sum(p(v, w) for w in range(size)) == pytest.approx(1)
-        for (i, _, _), ws in zip(rows, every, strict=True):
-            ns = [number[w] for w in map_of(ws)]
-            want = -np.mean([np.log(p(v, w)) for v, w in zip([0, *ns], ns, strict=False)]) if ns else 0
-            assert got[i]["target_loss" if side else "background_loss"] == pytest.approx(want)
-    assert got[90]["lm_score"] == got[91]["lm_score"] == 0
-    assert lm_score.scored(odd, lm_score.fit(odd, F.col("lang") == "en")).count() == odd.count()
+def test_lm_odd_rows(spark, odd, empty):
+    rows = lm_score.scored(odd, lm_score.fit(odd, F.col("lang") == "en")).collect()
+    assert len(rows) == odd.count()
+    assert all(r["lm_score"] == 0 and r["lm_tokens"] == 0 for r in rows if not brute.words(r["text"]))
+    same = {r["lm_score"] for r in rows if (r["text"] or "").startswith("Twice")}
+    assert len(same) == 1 and {r["lm_tokens"] for r in rows if (r["text"] or "").startswith("Twice")} == {8}
     assert lm_score.scored(empty, lm_score.fit(empty, F.lit(True))).count() == 0
 
 
@@ -231,7 +202,7 @@ def test_lm_tables_count_every_word_and_pair(spark):
     got |= {r["doc_id"]: r for r in lm_score.scored(spark.createDataFrame(news, schema), models).collect()}
     assert len(got) == len(rows) + len(news)
     size = len({w for _, t, _ in rows for w in (t or "").split()}) + 1
-    assert models.size == size > lm_score.MAX_WORDS
+    assert models.size == size > 1 << 14
     for loss, chosen in (("background_loss", rows), ("target_loss", [r for r in rows if r[2]])):
         uni, bi, context, used = Counter(), Counter(), Counter(), Counter()
         for _, t, _ in chosen:
@@ -278,7 +249,7 @@ def test_url_rules_are_mined(spark):
     labels = spark.createDataFrame(
         [(i, 0 if u in bad else 1, 0) for i, u in enumerate(urls)] + [(None, 0, 0), (1, None, None)], LABELS
     )
-    rules = url_filter.mined(pages, labels, min_support=0.02)
+    rules = url_filter.mined(pages, labels)
     found = [(frozenset(r["tokens"]), r["confidence"]) for r in rules.collect()]
     sets = {url: frozenset(t) for url, t in pages.select("url", url_filter.tokens_of(F.col("url"))).collect()}
     assert found and sets[None] == sets[""] == sets["no scheme"] == frozenset()
@@ -295,3 +266,138 @@ def test_url_rules_are_mined(spark):
     none = url_filter.mined(pages, labels.limit(0))
     assert none.count() == 0 and {r["verdict"] for r in url_filter.judged(pages, none).collect()} == {"allow"}
     assert url_filter.judged(pages.limit(0), rules).count() == 0
+
+
+def test_chat_control_strings_split_over_parts(spark):
+    """Texts full of marks, cut at random into parts: read back whole, with as many turns as there were."""
+    rng = random.Random(5)
+    bits = ["<|turn|>", "<|body|>", "<|end|>", "<|image|>", "system", "<", "[", "\\", "|", "<\\|end|>", "[INST]", "<<SYS>>", "</s>", "a b", "", "", "a"]
+    rows, want = [], {}
+    for conv in range(60):
+        for turn in range(3):
+            parts, content, texts = [], "", [""]
+            for _ in range(rng.randrange(5)):
+                kind = rng.choice(["text", "text", "text", "image", "video", None])
+                text = "".join(rng.choice(bits) for _ in range(rng.randrange(6)))
+                cuts = sorted(rng.randrange(len(text) + 1) for _ in range(rng.randrange(4)))
+                pieces = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])] if kind == "text" else [None]
+                parts += [(kind, p, "ref" if kind == "image" else None, 28, 28, None, None) for p in pieces]
+                if kind == "text":
+                    texts[-1] += text
+                elif kind == "image":
+                    texts.append("")
+            role = rng.choice(["assistant", "us<|er|>", "<|turn|>"])
+            rows.append((conv, turn, role, parts))
+            want[conv, turn] = (role, texts)
+    turns = spark.createDataFrame(rows, f"conv_id int, turn int, role string, parts array<{chat.PART}>")
+    out = chat.formatted(turns).withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("loss", chat.under_mask(F.col("formatted"), F.col("loss_mask")))
+    got = out.collect()
+    assert len(got) == 60
+    for r in got:
+        expected = [want[r["conv_id"], t] for t in range(3)]
+        assert r["n_turns"] == 3 and [t["role"] for t in r["turns"]] == [role for role, _ in expected]
+        for t, (_, texts) in zip(r["turns"], expected):
+            # An image's mark is the only one that is left; texts that spell one are told apart by the escape.
+            assert t["content"] == "<|image|>".join(texts)
+        assert r["loss"] == "".join("".join(texts) for role, texts in expected if role == "assistant")
+        assert len(r["attachments"]) == sum(len(texts) - 1 for _, texts in expected)
+        marked = [r["formatted"][s["start"] : s["start"] + s["length"]] for s in r["loss_mask"]]
+        assert len(marked) == sum(bool(t) for role, texts in expected if role == "assistant" for t in texts)
+
+
+def test_items_of_one_id_or_none(spark):
+    """Items are known by their words: two under one id, one under two ids and one without an id are all found."""
+    passage = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    items = [(1, passage(1)), (1, passage(2)), (2, passage(3)), (3, passage(3)), (None, passage(4)), (None, passage(5)), (4, None)]
+    docs = [(k, f"before {passage(k)} after") for k in range(1, 7)] + [(7, f"{passage(1)} {passage(2)}")]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = decontaminate.matches(frame, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    want = {(1, 1), (2, 1), (3, 2), (3, 3), (4, None), (5, None), (7, 1)}
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
+    assert decontaminate.clean(frame, spark.createDataFrame(items, "item_id bigint, text string")).count() == 1
+
+
+def test_multi_index_finds_all_within_the_radius(spark):
+    rng = np.random.default_rng(8)
+    prints = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 40)]
+    near = []
+    for f in prints:
+        for n in range(0, 30):
+            mask = sum(1 << int(b) for b in rng.choice(64, n, replace=False))
+            near.append((f & (2**64 - 1)) ^ mask)
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    windows = spark.createDataFrame([(i, 5, signed(x)) for i, x in enumerate(near)], "w bigint, size int, f bigint")
+    items = spark.createDataFrame([(bytes([i]), 5, f) for i, f in enumerate(prints)], "item binary, size int, g bigint")
+    got = {(r["w"], r["item"][0], r["hamming"]) for r in decontaminate.within_radius(windows, items, ["w", "size"]).collect()}
+    apart = lambda x, f: bin((x ^ f) & (2**64 - 1)).count("1")
+    want = {(w, i, apart(x, f)) for w, x in enumerate(near) for i, f in enumerate(prints) if apart(x, f) <= decontaminate.RADIUS}
+    assert got == want and len(want) >= 800
+
+
+def test_licence_labels_equal_all_places(spark, texts):
+    """Every place of every notice by plain comparison, on real texts and on notices with words changed."""
+    rng = random.Random(6)
+    changed = []
+    for k, t in enumerate(licences.templates()):
+        words = [w.decode() for w in t.words]
+        for n in range(4):
+            copy = ["other" if rng.random() < 0.1 * n else w for w in words]
+            changed.append((10_000 + 10 * k + n, f"Before it. {' '.join(copy)}, after {words[0]}"))
+    rows = [*texts, *changed]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["matches"] for r in licences.scanned(docs, licences.build_index(docs)).collect()}
+    found = 0
+    for i, text in rows:
+        words, want = [w.encode() for w in brute.words(text)], []
+        for t in licences.templates():
+            a, b = t.key
+            for start in range(len(words) - b + 1):
+                if tuple(words[start + a : start + b]) == t.words[a:b]:
+                    share = sum(x == y for x, y in zip(t.words, words[start : start + len(t.words)])) / len(t.words)
+                    if share >= licences.ENOUGH:
+                        want.append((t.label, start, len(t.words), share, t.base))
+        assert [tuple(m) for m in got[i]] == sorted(want), i
+        found += sum(not w[4] for w in want)
+    assert found > 40
+
+
+def test_toxicity_scores_equal_loops(spark):
+    """Differences, peaks and scores from counts made by hand."""
+    rng = random.Random(7)
+    mild, foul = [f"mild{i}" for i in range(40)], [f"foul{i}" for i in range(12)]
+    rows = []
+    for i in range(400):
+        toxic = int(i % 3 == 0)
+        rows.append((i, " ".join(rng.choice(foul if toxic and rng.random() < 0.4 else mild) for _ in range(25)), toxic))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, t int")
+    labels = docs.select("doc_id", F.col("t").alias("toxic"))
+    model = toxicity.fit(docs, labels)
+    held = {r[0] for r in docs.where(F.expr(f"pmod(xxhash64(text), {toxicity.CALIBRATION}L)") == 0).select("doc_id").collect()}
+    before = {0: {}, 1: {}}
+    for i, text, toxic in rows:
+        if i in held:
+            continue
+        ws = text.split()
+        for v, w in zip([None, *ws], ws):
+            for unit in (w, w[: toxicity.STEM] + toxicity.STEM_MARK if len(w) > toxicity.STEM else None):
+                if unit:
+                    before[toxic].setdefault(unit, set()).add(v)
+    count = lambda unit, c: len(before[c].get(unit, ()))
+
+    def ratios(units, k):
+        total = {c: sum(count(u, c) for u in units) for c in (0, 1)}
+        low = {c: sum(min(count(u, c), k) for u in units) for c in (0, 1)}
+        p = lambda u, c: max(count(u, c) - k, 0) / total[c] + low[c] / total[c] * sum(min(count(u, x), k) for x in (0, 1)) / sum(low.values())
+        own = {u: np.log(p(u, 1) / p(u, 0)) for u in units if max(count(u, 0), count(u, 1)) > k}
+        return own, np.log(low[1] / total[1] / (low[0] / total[0]))
+
+    units = before[0].keys() | before[1].keys()
+    words, _ = ratios([u for u in units if not u.endswith("*")], toxicity.DISCOUNT)
+    stems, other = ratios([u for u in units if u.endswith("*")], toxicity.DISCOUNT * toxicity.STEM_FACTOR)
+    assert words and stems
+    a, b, c = model.weights
+    for r in toxicity.with_differences(docs, model).collect():
+        rs = [words.get(w, stems.get(w[: toxicity.STEM] + "*", other)) for w in r["text"].split()]
+        mean, peak = np.mean(rs), max((x + y) / 2 for x, y in zip(rs, rs[1:]))
+        assert r["difference"] == pytest.approx(mean) and r["peak"] == pytest.approx(peak)
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(a + b * mean + c * peak, -30, 30))))
