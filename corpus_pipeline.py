@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, exact_dedup, simhash, toxicity
 from tidemark.llm.queries import table, toxicity_model
-from tidemark.session import pin, stored
+from tidemark.session import pin, scratch, shared_folder
 
 REJECT = 0.5  # toxicity score from which a document goes
 
@@ -68,7 +68,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's rows are written; what it wrote on the way is deleted then."""
     docs = pin(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        path = shared_folder(spark, name)
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
     return docs
