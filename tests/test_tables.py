@@ -1,9 +1,10 @@
 import math
+import os
 from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
-from tidemark import schemas
+from tidemark import schemas, session
 from tidemark.operators import profiling
 from tidemark.sources import tables
 
@@ -63,3 +64,14 @@ def test_enforce_schema(spark):
     assert tuple(got[0]) == (1, 2.5, datetime(2024, 1, 1, 10), "k")
     assert tuple(got[1]) == tuple(got[2]) == (None, None, None, "k")
     assert {r["column"]: r["bad_cells"] for r in profiling.bad_cells(df, schema).collect()} == {"i": 1, "f": 1, "t": 1}
+
+
+def test_scratch_is_deleted_and_the_rest_stays(spark):
+    outer = session.stored(spark.range(3), "kept")
+    with session.scratch(spark):
+        inner = session.stored(spark.range(5), "inner")
+        with session.scratch(spark):
+            innermost = session.stored(spark.range(7), "innermost")
+        assert inner.count() == 5 and not os.path.exists(innermost.inputFiles()[0].removeprefix("file://"))
+    assert outer.count() == 3
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in inner.inputFiles())

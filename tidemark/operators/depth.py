@@ -91,8 +91,8 @@ def book_from_updates(
     )
     falling = last.withColumns({"_back": -F.col("_slot"), "_day": F.floor(-F.col("_slot") / 86_400_000_000)})
     following = settle(carry_scan(falling, level, "_day", ["_back"], previous={"_next": "_slot"}))
-    newest = last.agg(F.max("_slot")).scalar()
-    until = F.coalesce(F.col("_next") - step, newest)
+    newest = updates.where(reduce(and_, sound)).agg(F.max(micros + F.pmod(-micros, step))).first()[0]
+    until = F.coalesce(F.col("_next") - step, F.lit(newest).cast("bigint"))
     standing = following.where(F.col("quantity") > 0).withColumn("_at", F.explode(F.sequence("_slot", until, step)))
     best_first = F.when(F.col("side") == "bid", -F.col("price")).otherwise(F.col("price"))
     line = Window.partitionBy(*by, "_at", "side").orderBy(best_first)

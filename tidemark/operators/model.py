@@ -168,6 +168,36 @@ def forecast_quantiles(
     return forecasts.withColumns(bands).where(F.col("pred_log_RV").isNotNull())
 
 
+# Size of a quantile sketch. Ranks are off by 1.33 / 200^0.9 of all rows or so, about 1.1 %, at most twice that in practice.
+SKETCH_SIZE = 200
+
+
+def residual_sketches(forecasts: DataFrame, by: Sequence[str] = ("symbol",), size: int = SKETCH_SIZE) -> DataFrame:
+    """Per (series, month) a mergeable quantile sketch of the residuals, of bounded size."""
+    month = F.to_date(F.date_trunc("month", "date")).alias("month")
+    known = forecasts.where(F.col("resid").isNotNull())
+    return known.groupBy(*by, month).agg(F.kll_sketch_agg_double("resid", F.lit(size)).alias("resids"))
+
+
+def sketched_quantiles(
+    forecasts: DataFrame,
+    sketches: DataFrame,
+    by: Sequence[str] = ("symbol",),
+    probabilities: Sequence[float] = (0.1, 0.5, 0.9),
+) -> DataFrame:
+    """``forecast_quantiles`` from stored sketches: months merge to any span, and no window holds all residuals.
+
+    A quantile is a residual whose rank is nearest, not a value between two; ranks are
+    accurate to the sketch's error.
+    """
+    merged = sketches.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.kll_merge_agg_double("resids").alias("_all"))
+    at = [F.kll_sketch_get_quantile_double("_all", F.lit(float(p))).alias(f"_q{round(p * 100):02d}") for p in probabilities]
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by])
+    joined = forecasts.where(F.col("pred_log_RV").isNotNull()).join(merged.select(*[f"_by_{c}" for c in by], *at), same)
+    bands = {f"q{round(p * 100):02d}": F.col("pred_log_RV") + F.col(f"_q{round(p * 100):02d}") for p in probabilities}
+    return joined.withColumns(bands).select(*forecasts.columns, *bands)
+
+
 def stress_regime(
     index: DataFrame, by: Sequence[str] = ("series",), value: str = "value", rows: int = 252
 ) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import write_table
+
 # The columns that may hold a dataset's time, in this order.
 TIME_COLUMNS = ("date", "timestamp", "open_time")
 
@@ -49,20 +51,29 @@ def profile(
     ``missing_pct`` holds fractions of 1. Without a known time column the coverage is
     "Unknown". An empty dataset is OK, with no coverage and no fractions.
     """
-    time = time or next((c for c in TIME_COLUMNS if c in df.columns), None)
+    time = time or _time_column(df)
+    return _described(df.agg(*_metrics(df, time)), df.columns, time, file, source, asset, frequency, status)
+
+
+def _time_column(df: DataFrame) -> str | None:
+    return next((c for c in TIME_COLUMNS if c in df.columns), None)
+
+
+def _metrics(df: DataFrame, time: str | None) -> list[Column]:
+    """Aggregates that a profile is made of; coverage as text."""
     counts = [F.count_if(_missing(f)).alias(f"_m{i}") for i, f in enumerate(df.schema)]
-    span = [F.min(time).alias("_from"), F.max(time).alias("_to")] if time else []
-    stats = df.agg(F.count(F.lit(1)).alias("rows"), *counts, *span)
+    span = [_iso(f(time), df.schema[time].dataType).alias(n) for f, n in ((F.min, "_from"), (F.max, "_to"))] if time else []
+    return [F.count(F.lit(1)).alias("rows"), *counts, *span]
 
+
+def _described(
+    stats: DataFrame, columns: list[str], time: str | None, file: str, source: str, asset: str, frequency: str, status: str
+) -> DataFrame:
     filled = F.col("rows") > 0
-    if time:
-        kind = df.schema[time].dataType
-        date_from, date_to = _iso(F.col("_from"), kind), _iso(F.col("_to"), kind)
-    else:
-        date_from = date_to = F.lit("Unknown")
+    date_from, date_to = (F.col("_from"), F.col("_to")) if time else (F.lit("Unknown"), F.lit("Unknown"))
     fractions = F.map_from_arrays(
-        F.array(*[F.lit(c) for c in df.columns]),
-        F.array(*[F.try_divide(F.col(f"_m{i}"), F.col("rows")) for i in range(len(df.columns))]),
+        F.array(*[F.lit(c) for c in columns]),
+        F.array(*[F.try_divide(F.col(f"_m{i}"), F.col("rows")) for i in range(len(columns))]),
     )
     none = F.create_map().cast("map<string,double>")
     return stats.select(
@@ -73,7 +84,7 @@ def profile(
         F.when(filled, date_from).alias("date_from"),
         F.when(filled, date_to).alias("date_to"),
         "rows",
-        F.array(*[F.lit(c) for c in df.columns]).cast("array<string>").alias("columns"),
+        F.array(*[F.lit(c) for c in columns]).cast("array<string>").alias("columns"),
         F.when(filled, fractions).otherwise(none).alias("missing_pct"),
         F.lit(status).alias("status"),
         F.lit(None).cast("string").alias("error"),
@@ -81,6 +92,32 @@ def profile(
     )
 
 
+def write_profiled(
+    df: DataFrame,
+    path: str,
+    source: str = "",
+    asset: str = "",
+    frequency: str = "",
+    time: str | None = None,
+    partition_by: Sequence[str] = ("symbol",),
+    file: str | None = None,
+) -> DataFrame:
+    """Write a table and describe it, in one pass: the profile of what this call wrote.
+
+    The counts are gathered by the tasks that write the files, so the dataset is computed
+    once and not scanned again. A dataset without rows is OK and has no coverage.
+    """
+    time = time or _time_column(df)
+    seen = Observation()
+    write_table(df, path, partition_by, time, metrics=(seen, _metrics(df, time)))
+    counts = seen.get
+    # An empty table may be written without a task that could count.
+    values = {f.name: F.lit(counts.get(f.name)).cast(f.dataType) for f in df.limit(0).agg(*_metrics(df, time)).schema}
+    values["rows"] = F.coalesce(values["rows"], F.lit(0).cast("bigint"))
+    stats = df.sparkSession.range(1).select(*[c.alias(n) for n, c in values.items()])
+    return _described(stats, df.columns, time, file or path, source, asset, frequency, "OK")
+
+
 def profile_files(spark: SparkSession, entries: Iterable[Mapping[str, str]]) -> DataFrame:
     """Profiles of stored datasets; one that cannot be read gives a FAILED row."""
     out = None

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import norm_cdf, or_zero, zero_to
@@ -104,12 +104,12 @@ def bucket_vpin(
         line = Window.partitionBy(*by).orderBy("bucket")
         numbered = buckets.withColumn("_row", F.row_number().over(line).cast("bigint"))
     reach = SIGMA_ROWS + BUCKETS_PER_DAY
-    frame, series, own = trailing_blocks(numbered, by, "_row", reach, max(block_rows, reach))
+    frame, _, own = trailing_blocks(numbered, by, "_row", reach, max(block_rows, reach))
 
     if signed_trades:
         bought = F.col("V_taker")
     else:
-        frame = _trailing(frame, by, series, SIGMA_ROWS, {
+        frame = _trailing(frame, by, SIGMA_ROWS, {
             "n": F.count("dP"), "mean": F.avg("dP"), "var": F.var_pop("dP")
         })
         n1, n2 = F.col("_front_n"), F.col("_back_n")
@@ -122,7 +122,9 @@ def bucket_vpin(
     frame = frame.withColumn("V_buy", bought).withColumn("V_sell", F.col("V_total") - F.col("V_buy"))
     imbalance = F.abs(F.col("V_buy") - F.col("V_sell"))
     kept = [*frame.columns]
-    frame = _trailing(frame, by, series, BUCKETS_PER_DAY, {"n": F.count(imbalance), "sum": F.sum(imbalance)})
+    # Where sigma came from windows, the rows already lie block by block.
+    measures = {"n": F.count(imbalance), "sum": F.sum(imbalance)}
+    frame = _trailing(frame, by, BUCKETS_PER_DAY, measures, dealt=not signed_trades)
     full = F.col("_front_n") + F.coalesce("_back_n", F.lit(0)) == BUCKETS_PER_DAY
     total = or_zero("_front_sum") + or_zero("_back_sum")
     vpin = F.when(full, total / (BUCKETS_PER_DAY * F.col("V_star")))
@@ -130,27 +132,35 @@ def bucket_vpin(
     return frame.withColumn("VPIN", vpin).where(own).select(*plain, "VPIN")
 
 
+# Chunks of so few rows are added up from each row to their end anew, which saves a sort.
+SHORT_CHUNK = 64
+
+
 def _trailing(
-    frame: DataFrame, by: Sequence[str], series: WindowSpec, rows: int, measures: dict[str, Column]
+    frame: DataFrame, by: Sequence[str], rows: int, measures: dict[str, Column], dealt: bool = False
 ) -> DataFrame:
     """Aggregates over the last ``rows`` rows, in two parts to be merged: O(1) work per row.
 
     Rows are numbered by ``_row`` and fall into chunks of ``rows``. A row's frame is the
     front of its own chunk, up to itself, and the back of the chunk before, from the row
     that is ``rows - 1`` rows earlier; both are running aggregates of a chunk. Without
-    such a row the back part is NULL.
+    such a row the back part is NULL. Front and look-back share one sort, as chunks follow
+    the rows' order. ``dealt`` says that the rows lie block by block already.
     """
     chunked = frame.drop(*[f"_{part}_{m}" for part in ("front", "back") for m in measures]).withColumn(
         "_chunk", F.floor(F.col("_row") / rows)
     )
     chunk = Window.partitionBy(*by, "_block", "_chunk")
+    line = Window.partitionBy(*by, "_block").orderBy("_chunk", "_row")
     front = chunk.orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
     back = chunk.orderBy(F.desc("_row")).rowsBetween(Window.unboundedPreceding, 0)
-    out = chunked.repartition(*by, "_block")
+    if rows <= SHORT_CHUNK:
+        back = chunk.orderBy("_row").rowsBetween(0, Window.unboundedFollowing)
+    out = chunked if dealt else chunked.repartition(*by, "_block")
     out = out.withColumns({f"_rest_{m}": c.over(back) for m, c in measures.items()})
     out = out.withColumns({f"_front_{m}": c.over(front) for m, c in measures.items()})
-    before = F.lag("_chunk", rows - 1).over(series) < F.col("_chunk")
-    reached = {f"_back_{m}": F.lag(f"_rest_{m}", rows - 1).over(series) for m in measures}
+    before = F.lag("_chunk", rows - 1).over(line) < F.col("_chunk")
+    reached = {f"_back_{m}": F.lag(f"_rest_{m}", rows - 1).over(line) for m in measures}
     out = out.withColumns({**reached, "_before": before})
     return out.withColumns({c: F.when(F.col("_before"), F.col(c)) for c in reached}).drop(
         "_chunk", "_before", *[f"_rest_{m}" for m in measures]

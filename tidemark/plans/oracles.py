@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from ..functions.columns import NORMAL_DENOMINATOR, NORMAL_NUMERATOR
 from ..operators.news import NEGATIVE_WORDS, POSITIVE_WORDS
-from ..sources.tables import SEARCH_TERMS
+from ..sources.tables import MACRO_SERIES, SEARCH_TERMS
 from .testdata import PANEL_IDS
 
 ORACLES: dict[str, str] = {}
@@ -375,6 +375,31 @@ oracle(
     ) + " from wide ",
     date=DAY, **_num(*PANEL_IDS),
 )
+_MACRO = ", ".join(f"max(o_totalprice) filter (o_custkey % 20 = {i}) as \"{m}\"" for i, m in enumerate(MACRO_SERIES))
+CTE["macro"] = f"""
+  select cast(o_orderdate as date) as date, {_MACRO} from orders group by 1"""
+oracle(
+    "macro_panel_filled",
+    "select date, " + ", ".join(f'last_value("{m}" ignore nulls) over (order by date) as "{m}"' for m in MACRO_SERIES) + " from macro ",
+    date=DAY, **_num(*MACRO_SERIES),
+)
+oracle(
+    "source_diversity_weekly",
+    """select cast(date_trunc('week', DATE) as date) as span, count(distinct SourceCommonName) as source_diversity,
+              count(*) as event_count from gkg group by 1""",
+    span=DAY, source_diversity=INT, event_count=INT,
+)
+oracle(
+    "maintained_bars",
+    """select symbol, open_time, case when symbol = 'click' and cast(open_time as date) = date '2024-01-05' then -close else close end as close
+       from bars """,
+    symbol=EXACT, open_time=TIME, close=EXACT,
+)
+oracle(
+    "sketched_quantile_ranks",
+    """select symbol, count(*) as n, 1 as q10_near, 1 as q50_near, 1 as q90_near from forecasts where log_RV is not null group by 1""",
+    symbol=EXACT, n=INT, q10_near=INT, q50_near=INT, q90_near=INT,
+)
 oracle(
     "search_trends",
     "select cast(date_trunc('week', o_orderdate) as date) as date, " + ", ".join(
@@ -473,9 +498,9 @@ oracle(
 )
 oracle(
     "asof_quotes_cut",
-    """select trade_id, price, event_id as asof_event_id, quote as asof_quote
-       from deals d asof left join quotes q on d.ts >= q.ts""",
-    trade_id=INT, price=EXACT, asof_event_id=INT, asof_quote=EXACT,
+    """select trade_id, d.user_id % 2 as desk, price, event_id as asof_event_id, quote as asof_quote
+       from deals d asof left join quotes q on d.user_id % 2 = q.user_id % 2 and d.ts >= q.ts""",
+    trade_id=INT, desk=INT, price=EXACT, asof_event_id=INT, asof_quote=EXACT,
 )
 oracle(
     "book_levels_sampled", "select * from best where level < 10",
@@ -608,6 +633,13 @@ oracle(
     "profile_table", _PROFILES, file=EXACT, source=EXACT, frequency=EXACT, date_from=EXACT, date_to=EXACT, rows=INT,
     status=EXACT, column=EXACT, missing_pct=NUM,
 )
+oracle(
+    "profile_while_writing",
+    " union all ".join(
+        _profile("rv/history", "computed", "1d", "trades_har", ["symbol", "date", "RV", "RV_d", "RV_w", "RV_m"], "date")
+    ),
+    file=EXACT, source=EXACT, frequency=EXACT, date_from=EXACT, date_to=EXACT, rows=INT, status=EXACT, column=EXACT, missing_pct=NUM,
+)
 oracle(
     "quality_report",
     f"""select string_split(file, '/')[2] as file, max(rows) as rows, max(status) as status,

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..operators import asof, bars, daily, depth, evaluate, model, news, panel, profiling, sizing, vpin
 from ..operators.scan import SEGMENT_ROWS
-from ..session import shared_folder
+from ..session import shared_folder, stored
 from ..sources import landing, tables
 from ..streaming import jobs, keyed
 from ..streaming import vpin as stream
@@ -181,6 +181,12 @@ def macro_ffill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(panel.filled_panel(data.panel_long(spark, sf_dir), data.PANEL_IDS))
 
 
+@query
+def macro_panel_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All macro series under their own ids, one column each, carried forward."""
+    return shown(panel.filled_panel(data.macro_long(spark, sf_dir), tables.MACRO_SERIES))
+
+
 @query
 def search_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five weekly series side by side, not filled."""
@@ -257,10 +263,10 @@ def asof_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def asof_quotes_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each trade with the latest quote of any account: one series, in segments of 20 rows."""
-    quotes, trades = data.quotes_and_trades(spark, sf_dir)
-    matched = asof.asof_match(trades, quotes, ["quote", "event_id"], [], right_ties=["event_id"], segment_rows=20)
-    return shown(matched, "trade_id", "price", "asof_event_id", "asof_quote", exact=("price", "asof_quote"))
+    """Each trade with the latest quote of any account of its desk: two long series, in segments of 20 rows."""
+    quotes, trades = (df.withColumn("desk", F.col("user_id") % 2) for df in data.quotes_and_trades(spark, sf_dir))
+    matched = asof.asof_match(trades, quotes, ["quote", "event_id"], ["desk"], right_ties=["event_id"], segment_rows=20)
+    return shown(matched, "trade_id", "desk", "price", "asof_event_id", "asof_quote", exact=("price", "asof_quote"))
 
 
 # News and text
@@ -271,6 +277,13 @@ def gkg_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(news.event_news_daily(data.gkg(spark, sf_dir), "2024-01-05", "2024-01-25"))
 
 
+@query
+def source_diversity_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct sources of each week, from daily sketches that were stored; counts this small are exact."""
+    daily_sketches = stored(news.source_sketches(data.gkg(spark, sf_dir), bits=18), "source-sketches")
+    return shown(news.source_diversity(daily_sketches, "week"))
+
+
 @query
 def panic_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     votes = data.votes(spark, sf_dir)
@@ -419,11 +432,11 @@ def stored_bars_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars written by symbol and read back with a declared schema and a time range."""
     path = shared_folder(spark, "bars")
     tables.write_table(data.hourly_bars(spark, sf_dir), path, time="open_time")
-    stored = tables.read_table(
+    back = tables.read_table(
         spark, path, "symbol string, open_time timestamp, close double, volume double",
         "open_time", "2024-01-10 00:00:00", "2024-01-20 00:00:00",
     )
-    return shown(stored, exact=OHLCV)
+    return shown(back, exact=OHLCV)
 
 
 @query
@@ -433,8 +446,31 @@ def rewritten_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     hourly = data.hourly_bars(spark, sf_dir).select("symbol", "open_time", "close")
     tables.write_table(hourly, path, time="open_time")
     tables.write_table(hourly.where("symbol = 'click'").withColumn("close", F.col("close") * 2), path, time="open_time")
-    stored = tables.read_table(spark, path, "symbol string, open_time timestamp, close double")
-    return shown(stored, exact=("close",))
+    back = tables.read_table(spark, path, "symbol string, open_time timestamp, close double")
+    return shown(back, exact=("close",))
+
+
+@query
+def maintained_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A history that grows: the first three weeks, then the rest, then a late correction of one symbol's day."""
+    path, hourly = shared_folder(spark, "history"), data.hourly_bars(spark, sf_dir).select("symbol", "open_time", "close")
+    early = F.col("open_time") < F.lit("2024-01-22").cast("timestamp")
+    tables.merge_rows(hourly.where(early), path)
+    tables.merge_rows(hourly.where(~early), path)
+    wrong = (F.col("symbol") == "click") & (F.to_date("open_time") == F.lit("2024-01-05").cast("date"))
+    tables.merge_rows(hourly.where(wrong).withColumn("close", -F.col("close")), path)
+    history = tables.read_history(spark, "bars", path, "symbol string, open_time timestamp, close double", "open_time")
+    return shown(history, exact=("close",))
+
+
+@query
+def profile_while_writing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile of a table from the pass that wrote it."""
+    filled = _trade_history(spark, sf_dir).select("symbol", "date", "RV", "RV_d", "RV_w", "RV_m")
+    written = profiling.write_profiled(filled, shared_folder(spark, "profiled"), "computed", "all", "1d", file="rv/history")
+    return shown(written.select(
+        "file", "source", "frequency", "date_from", "date_to", "rows", "status", F.explode("missing_pct").alias("column", "missing_pct")
+    ))
 
 
 @query
@@ -580,6 +616,19 @@ def forecast_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(bands, "symbol", "date", "q10", "q50", "q90")
 
 
+@query
+def sketched_quantile_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the quantiles of merged monthly sketches stand among all residuals: within 3 % of the rank asked for."""
+    f = stored(_forecasts(spark, sf_dir), "forecasts")
+    bands = model.sketched_quantiles(f, stored(model.residual_sketches(f), "residual-sketches"))
+    below = {c: F.avg((F.col("resid") <= F.col(c) - F.col("pred_log_RV") + 1e-9).cast("double")) for c in ("q10", "q50", "q90")}
+    asked = {"q10": 0.1, "q50": 0.5, "q90": 0.9}
+    per = bands.where("resid is not null").groupBy("symbol").agg(
+        F.count("*").alias("n"), *[(F.abs(e - asked[c]) <= 0.03).alias(f"{c}_near") for c, e in below.items()]
+    )
+    return shown(per)
+
+
 @query
 def dm_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The regression against the last value, five days of overlap allowed for."""

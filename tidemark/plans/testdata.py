@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.bars import tick_bars
 from ..session import pin
+from ..sources.tables import MACRO_SERIES
 
 DAILY_TICK_TIES = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
@@ -126,6 +127,16 @@ def panel_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def macro_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` dealt to the macro series by customer."""
+    ids = F.array(*[F.lit(s) for s in MACRO_SERIES])
+    return (
+        table(spark, sf_dir, "orders")
+        .groupBy(F.get(ids, (F.col("o_custkey") % len(MACRO_SERIES)).cast("int")).alias("series"), F.to_date("o_orderdate").alias("date"))
+        .agg(F.max("o_totalprice").alias("value"))
+    )
+
+
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vote counts per user and day from the event types."""
     kind = F.col("event_type")

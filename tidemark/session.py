@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +48,10 @@ def local_session(cores: int = 8, app: str = "tidemark") -> SparkSession:
     return spark
 
 
+# Paths handed out inside each open ``scratch``, the innermost last.
+_scopes: list[list[str]] = []
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the folder that all executors see.
 
@@ -57,7 +63,27 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
         root = tempfile.mkdtemp(prefix="tidemark-")
-    return f"{root.rstrip('/')}/tidemark/{purpose}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/tidemark/{purpose}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what was written to the shared folder inside.
+
+    For a job whose result has been written elsewhere by then: frames made inside read
+    files that are gone afterwards.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for written in _scopes.pop():
+            path = hadoop.Path(written)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import known
+from ..session import stored
 
 # Where the histories begin.
 START = {
@@ -61,7 +64,11 @@ def read_table(
 
 
 def write_table(
-    df: DataFrame, path: str, partition_by: Sequence[str] = ("symbol",), time: str | None = None
+    df: DataFrame,
+    path: str,
+    partition_by: Sequence[str] = ("symbol",),
+    time: str | None = None,
+    metrics: tuple[Observation, Sequence[Column]] | None = None,
 ) -> None:
     """Overwrite the series that ``df`` has in a Parquet table, one folder per series.
 
@@ -70,15 +77,65 @@ def write_table(
     The rebalance hint gathers a series' rows into few files, and lets adaptive
     execution split a series that is too large for one task. With ``time`` the rows of a
     file are in time order, so that a time range skips row groups by their statistics.
+    ``metrics`` are aggregates that are gathered from the rows as they are written.
     """
     keys = [c for c in partition_by if c in df.columns]
     gathered = df.hint("rebalance", *keys)
     if time:
         gathered = gathered.sortWithinPartitions(*keys, time)
+    if metrics:
+        gathered = gathered.observe(metrics[0], *metrics[1])
     writer = gathered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if keys else "static")
     (writer.partitionBy(*keys) if keys else writer).parquet(path)
 
 
+MONTH = "month"
+
+
+def read_history(
+    spark: SparkSession, dataset: str, path: str, schema: str, time: str, since: str | None = None, until: str | None = None
+) -> DataFrame:
+    """A stored history kept by ``merge_rows``, from the first day of its kind (``START``) unless ``since`` says otherwise.
+
+    Bounds reach the folders of months as well as the rows in them.
+    """
+    since = since or START[dataset]
+    names = T.StructType.fromDDL(schema).names
+    rows = read_table(spark, path, f"{schema}, {MONTH} string", time, since, until).where(F.col(MONTH) >= since[:7])
+    return (rows.where(F.col(MONTH) <= until[:7]) if until else rows).select(*names)
+
+
+def merge_rows(
+    new: DataFrame, path: str, key: Sequence[str] = ("symbol", "open_time"), time: str = "open_time", by: Sequence[str] = ("symbol",),
+    order: Sequence[str] = (),
+) -> DataFrame:
+    """Bring new and corrected rows into a table of one folder for each (series, month); returns the months touched.
+
+    A row replaces the stored one of its key. Of several new rows of one key the last by
+    ``order`` counts, else the largest. Only months that new rows fall into are read and
+    written again; every other file stays as it is. A row without a time is left out.
+
+    Stored rows are found by a join on the folders' names, which Spark prunes by, and the
+    merged months are first written aside: what is read is never what is being replaced.
+    """
+    spark = new.sparkSession
+    month = F.date_format(time, "yyyy-MM")
+    fresh = stored(new.where(F.col(time).isNotNull()).withColumn(MONTH, month), "merge-new")
+    parts = [*by, MONTH]
+    touched = stored(fresh.select(*parts).distinct(), "merge-months")
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fresh.schema)
+    old = read_table(spark, path, types)
+    same = reduce(and_, [F.col(f"o.{c}").eqNullSafe(F.col(f"t.{c}")) for c in parts])
+    kept = old.alias("o").join(touched.alias("t"), same, "left_semi").select(*fresh.columns)
+    rank = lambda df, n: df.withColumn("_rank", F.struct(F.lit(n), *order, F.struct(*new.columns)))
+    names = [*dict.fromkeys([*parts, *key])]
+    others = [c for c in fresh.columns if c not in names]
+    one = rank(kept, 0).unionByName(rank(fresh, 1)).groupBy(*names).agg(F.max_by(F.struct(*others), "_rank").alias("_row"))
+    merged = stored(one.select(*names, "_row.*").select(*fresh.columns), "merge-rows")
+    write_table(merged, path, parts, time)
+    return touched
+
+
 # Names of the tie-breakers that ``with_row_position`` adds.
 ROW_POSITION = ("_file", "_row")
 

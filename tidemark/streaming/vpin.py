@@ -22,6 +22,7 @@ from ..session import stored
 from ..sources.tables import read_table
 
 HISTORY = SIGMA_ROWS + BUCKETS_PER_DAY  # buckets that a new one's frames reach back to
+NUMBERED_AT_ONCE = 1_000_000  # buckets of a step that one task numbers
 STATE = (
     "symbol string, bucket bigint, first double, last double, V_total double, timestamp timestamp, "
     f"cum {VOLUME_TYPE}, closed boolean"
@@ -63,9 +64,9 @@ def advance(bars: DataFrame, state: DataFrame, v_star: float) -> tuple[DataFrame
     )
     fresh = split.where("closed").withColumn("_fresh", F.lit(True))
     line = fresh.unionByName(state.where("closed").withColumn("_fresh", F.lit(False)))
-    scored = bucket_vpin(
-        line.withColumn("dP", F.col("last") - F.col("first")).withColumn("V_star", F.lit(float(v_star)))
-    ).where("_fresh")
+    priced = line.withColumn("dP", F.col("last") - F.col("first")).withColumn("V_star", F.lit(float(v_star)))
+    # A backlog may close very many buckets at once; they are then numbered in segments.
+    scored = bucket_vpin(priced, many=fresh.count() > NUMBERED_AT_ONCE).where("_fresh")
     latest = Window.partitionBy("symbol").orderBy(F.desc("bucket"))
     # Few rows each: a state's share, and from a step those near the end of a series.
     kept = line.withColumn("_age", F.row_number().over(latest)).where(F.col("_age") <= HISTORY)
