@@ -36,7 +36,7 @@ from .text import appended, name, whole
 LEAF_BYTES = 6  # strings of no more are merged directly, and remembered
 SHORT_BYTES = 24  # up to here merging looks at all pairs again, beyond it keeps a heap
 LEAF_IDS = 1 << 16  # ids whose bytes decoding gathers at once
-CACHE = 1 << 18  # encoded strings of a kind that a task remembers
+CACHE = 1 << 18  # words and leaves that a worker remembers; half as many of other pieces and of pairs
 # White space before a blank and none but white space after it: the run belongs together.
 UNSAFE = re.compile(r"[\s\x1c-\x1f\x85\xa0] (?:[\s\x1c-\x1f\x85\xa0]|$)").search
 # Letters only: one piece under a pattern in which a blank and letters are one.
@@ -75,8 +75,8 @@ class Vocabulary:
         self.ranks, self.pattern = ranks, pattern
         self.pairs: dict[tuple[int, int], bool] = {}
         self.leaves = Memo(self.merged)  # of byte strings
-        self.pieces = Memo(self.packed_piece)
-        self.stretches = Memo(self.packed_stretch, 2 * CACHE)
+        self.pieces = Memo(self.packed_piece, CACHE // 2)
+        self.stretches = Memo(self.packed_stretch)
         self.letters = LETTERS if r" ?\p{L}+" in pattern else lambda _: None
 
     def __getstate__(self) -> tuple:
@@ -144,7 +144,7 @@ class Vocabulary:
         known = self.pairs.get((a, b))
         if known is None:
             known = self.merged(self.strings[a] + self.strings[b]) == [a, b]
-            if len(self.pairs) >= CACHE:
+            if len(self.pairs) >= CACHE // 2:
                 self.pairs.clear()
             self.pairs[a, b] = known
         return known
