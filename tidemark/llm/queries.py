@@ -25,6 +25,9 @@ from . import (
     toxicity,
     url_filter,
 )
+from .text import if_small
+
+TARGET_IDS = 1_000_000  # ids of target documents that are broadcast at most
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -152,7 +155,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def target_marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents with ``target``: true for every one labelled with quality 1, else NULL."""
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(good.withColumn("target", F.lit(True)), "doc_id", "left")
+    # Up to so many ids are sent to the texts; beyond, texts and ids are shuffled.
+    return docs.join(if_small(good.withColumn("target", F.lit(True)), TARGET_IDS), "doc_id", "left")
 
 
 @query
