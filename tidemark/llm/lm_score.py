@@ -44,7 +44,7 @@ from .text import WORD, name, small_batches, whole
 
 DISCOUNT = 0.75
 SEED = 42
-BLOCK_TOKENS = 4_000_000  # a block of texts is closed once it holds so many
+BLOCK_TOKENS = 2_000_000  # a block of texts is closed once it holds so many
 PART_TOKENS = 2_000_000  # tokens for each group of pairs, on average
 ANSWER, ADDEND, SIZE, WORDS, TEXTS = range(5)  # kinds of messages
 
