@@ -7,6 +7,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.operators import model, news, profiling
+from tidemark.plans import testdata as data
+from tidemark.plans.queries import QUERIES
 from tidemark.sources import tables
 
 BAR = "symbol string, open_time timestamp, close double"
@@ -87,6 +89,23 @@ def test_merged_source_sketches(spark):
     assert news.source_diversity(news.source_sketches(events.limit(0))).count() == 0
 
 
+def test_source_diversity_is_exact_beyond_a_sketch(spark, tmp_path):
+    """60,000 sources, each on two days of both weeks, and events without a source."""
+    n = 240_000
+    events = spark.range(n).select(
+        F.col("id").alias("event_id"),
+        (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.floor(F.col("id") / 60_000).cast("int") * 4)).alias("ts"),
+        F.when(F.col("id") % 60_000 != 0, F.col("id") % 60_000).alias("user_id"),
+        F.lit("view").alias("event_type"),
+        F.lit(1.0).alias("value"),
+        F.lit('{"k": 1}').alias("props"),
+    )
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["span"]: (r["source_diversity"], r["event_count"]) for r in QUERIES["source_diversity_weekly"](spark, str(tmp_path)).collect()}
+    assert got == {"2024-01-01": (59_999, 120_000), "2024-01-08": (59_999, 120_000)}
+    assert news.exact_source_diversity(news.daily_sources(data.gkg(spark, str(tmp_path)).limit(0))).count() == 0
+
+
 def test_merged_residual_sketches(spark):
     rng = np.random.default_rng(9)
     resid = {s: rng.normal(0, k, 3000) for k, s in enumerate(("x", "y"), 1)}
