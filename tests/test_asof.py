@@ -155,6 +155,21 @@ def test_large_lexicon_table_both_ways(spark, monkeypatch):
             assert hits[r["doc_id"]] == (sum(w > 0 for w in weights), sum(w < 0 for w in weights))
 
 
+def test_large_lexicon_does_not_sort_occurrences(spark, monkeypatch, capsys):
+    """Their sort took a task's memory for every word of every text."""
+    monkeypatch.setattr(news, "BROADCAST_LEXICON", 0)
+    lexicon = spark.range(1000).select(F.concat(F.lit("w"), "id").alias("word"), F.lit(1).alias("weight"))
+    docs = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("w1 w2 w1").alias("text"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        news.with_lexicon(docs, lexicon).explain()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    plan = capsys.readouterr().out
+    assert plan.count("ShuffledHashJoin") == 2 and "Sort " not in plan and "SortMergeJoin" not in plan
+
+
 def test_sentiment_function_of_sql(spark):
     news.register_sentiment(spark, positive=("good", "o'neil"), negative=("bad",))
     got = spark.sql("select get_sentiment_score(t) as s from values ('Good, GOOD? bad.'), ('x'), (null), ('O') as v(t)").collect()

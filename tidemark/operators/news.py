@@ -155,20 +155,22 @@ def with_lexicon(
     ``key`` identifies a document. Of several weights of a word the largest counts; a word
     of weight 0, or without one, does not. Words meet the lexicon by hash: it is broadcast
     if its words' bytes stay under ``BROADCAST_LEXICON``, else both sides are shuffled.
-    Hits are added up within tasks before they are shuffled to their documents.
+    Either way a task holds lexicon entries and streams the occurrences past them: sorting
+    those would take memory for every word of every text. Hits are added up within tasks
+    before they are shuffled to their documents, where they are the side that is held.
     """
     entries = (
         lexicon.where(F.col("word").isNotNull()).groupBy("word").agg(F.max("weight").alias("weight")).where("weight <> 0")
     )
     size = entries.agg(F.sum(F.octet_length("word") + 16)).first()[0] or 0
-    entries = F.broadcast(entries) if size <= BROADCAST_LEXICON else entries
+    entries = F.broadcast(entries) if size <= BROADCAST_LEXICON else entries.hint("shuffle_hash")
     named = {k: f"_key_{k}" for k in key}
     worded = docs.select(*[F.col(k).alias(n) for k, n in named.items()], F.explode(words_of(text)).alias("word"))
     times = worded.join(entries, "word").groupBy(*named.values()).agg(
         F.count_if(F.col("weight") > 0).alias("_pos"), F.count_if(F.col("weight") < 0).alias("_neg")
     )
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(n)) for k, n in named.items()])
-    joined = docs.join(times, same, "left").drop(*named.values())
+    joined = docs.join(times.hint("shuffle_hash"), same, "left").drop(*named.values())
     counts = {c: F.coalesce(f"_{c}", F.lit(0).cast("bigint")) for c in ("pos", "neg")}
     return with_score(joined.withColumns(counts).drop("_pos", "_neg"))
 
