@@ -47,6 +47,54 @@ def test_toxicity_held_out(toxic_rows):
     assert all(counts[w] == tuple(map(len, sides)) for w, sides in want.items())
 
 
+def test_toxicity_bigrams(toxic_rows):
+    """Counts, ratios and what first words hand on, against plain loops."""
+    docs, labels, rows = toxic_rows
+    texts = docs.join(labels, "doc_id")
+    pairs, counts = toxicity.bigram_counts(texts), toxicity.continuation_counts(texts)
+    single = counts.where("not endswith(w, '*')")
+    model = toxicity.Model(toxicity.word_ratios(single)[0], 0.1)
+    bigrams = toxicity.bigram_ratios(pairs, single, model)
+    before = [{}, {}]  # by class: ordinary, toxic
+    for _, text, _, bad in rows:
+        ws = text.split()
+        for u, v, w in zip([None, *ws], ws, ws[1:], strict=False):
+            before[bad].setdefault((v, w), set()).add(u)
+    n = [{p: len(us) for p, us in side.items()} for side in before]
+    got = {(r["v"], r["w"]): (r["ordinary"], r["toxic"]) for r in pairs.collect()}
+    assert got == {p: (n[0].get(p, 0), n[1].get(p, 0)) for p in n[0].keys() | n[1].keys()}
+    k = toxicity.DISCOUNT
+    words = {r["w"]: (r["ordinary"], r["toxic"]) for r in single.collect()}
+    total = [sum(c[i] for c in words.values()) for i in (0, 1)]
+    low = [sum(min(c[i], k) for c in words.values()) for i in (0, 1)]
+    first = [Counter(), Counter()]
+    handed = [Counter(), Counter()]
+    for i in (0, 1):
+        for (v, _), c in n[i].items():
+            first[i][v] += c
+            handed[i][v] += min(c, k)
+
+    def ratio(v, w):
+        weight = [handed[i][v] / first[i][v] if first[i][v] else 1 for i in (0, 1)]
+        alone = float(model.ratios([w.encode()])[0])
+        if max(n[i].get((v, w), 0) for i in (0, 1)) <= k:
+            return alone + np.log(weight[1] / weight[0])
+        p = [(max(words[w][i] - k, 0) + low[i] * sum(min(c, k) for c in words[w]) / sum(low)) / total[i] for i in (0, 1)]
+        if max(words[w]) <= k:
+            p = [np.sqrt(p[0] * p[1]) * np.exp(s * alone / 2) for s in (-1, 1)]
+        q = [max(n[i].get((v, w), 0) - k, 0) / max(first[i][v], 1) + weight[i] * p[i] for i in (0, 1)]
+        return np.log(q[1] / q[0])
+
+    assert len(bigrams.keys) == sum(max(c) > k for c in got.values()) > 100
+    for _, text, _, _ in rows[::20]:
+        ws = text.split()
+        encoded = [w.encode() for w in ws]
+        want = [float(model.ratios(encoded[:1])[0]), *map(ratio, ws, ws[1:])]
+        assert np.allclose(bigrams.follow(encoded, model.ratios(encoded)), want)
+    fitted = queries.toxicity_model(docs, labels)
+    assert len(fitted.bigrams.keys) and fitted.features(b"w1 w2 vermin w3") != fitted.features(b"w3 vermin w2 w1")
+
+
 def test_toxicity_query(spark, sf_dir, texts):
     rows = queries.QUERIES["op1_toxicity"](spark, sf_dir).collect()
     assert sorted(r["doc_id"] for r in rows) == sorted(i for i, _ in texts)

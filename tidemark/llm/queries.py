@@ -47,7 +47,7 @@ def held_out(doc_id: str) -> Column:
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
-    return toxicity.fit(docs, labels.where(~held_out("doc_id")))
+    return toxicity.fit(docs, labels.where(~held_out("doc_id")), order=2)
 
 
 @query
