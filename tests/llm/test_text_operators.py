@@ -95,6 +95,44 @@ def test_toxicity_bigrams(toxic_rows):
     assert len(fitted.bigrams.keys) and fitted.features(b"w1 w2 vermin w3") != fitted.features(b"w3 vermin w2 w1")
 
 
+def test_toxicity_quoted_passages(spark):
+    """Passages that texts of both classes quote say little, however their counts lie about the discount."""
+    rng = np.random.default_rng(3)
+    common, rows = [f"w{i}" for i in range(60)], []
+    for i in range(800):
+        words = list(rng.choice(common, int(rng.integers(40, 120))))
+        for at in rng.integers(0, len(words), 2):
+            words[at] += " " + ("vermin" if i % 2 else "kitten")
+        for k in np.flatnonzero(rng.random(30) < 0.05):
+            words[int(rng.integers(0, len(words)))] += f" first{k} second{k} third{k}"
+        rows.append((i, " ".join(words), 1, i % 2))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(r[0], r[2], r[3]) for r in rows], LABELS)
+    model = queries.toxicity_model(docs, labels)
+    insult = model.words[b"vermin"]
+    quoted = [model.features(f"first{k} second{k}".encode())[1] for k in range(30)]
+    assert insult > 2 and max(map(abs, quoted)) < insult / 2
+    got = toxicity.with_differences(docs.where(queries.held_out("doc_id")), model).collect()
+    assert np.mean([(r["score"] >= 0.5) == r["doc_id"] % 2 for r in got]) >= 0.98
+
+    texts = docs.join(labels, "doc_id")
+    pairs, counts = toxicity.bigram_counts(texts), toxicity.continuation_counts(texts).where("not endswith(w, '*')")
+    free, held = (toxicity.bigram_ratios(pairs, counts, model, bounded=b) for b in (False, True))
+    n, first = {(r["v"], r["w"]): (r["toxic"], r["ordinary"]) for r in pairs.collect()}, [Counter(), Counter()]
+    for (v, _), c in n.items():
+        first[0][v] += c[0]
+        first[1][v] += c[1]
+    names = sorted(free.index)
+    differ = 0
+    for key, was, now in zip(free.keys, free.ratios, held.ratios, strict=True):
+        v, w = (names[x].decode() for x in divmod(key, len(names) + 1))
+        seen = np.log((n[v, w][0] + 1) / (first[0][v] + 1) / (n[v, w][1] + 1) * (first[1][v] + 1))
+        own = float(model.ratios([w.encode()])[0])
+        assert np.isclose(now, min(max(was, min(own, seen)), max(own, seen)))
+        differ += was != now
+    assert differ > 10 and np.array_equal(free.keys, held.keys) and np.array_equal(free.handed, held.handed)
+
+
 def test_toxicity_query(spark, sf_dir, texts):
     rows = queries.QUERIES["op1_toxicity"](spark, sf_dir).collect()
     assert sorted(r["doc_id"] for r in rows) == sorted(i for i, _ in texts)

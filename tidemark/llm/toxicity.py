@@ -22,6 +22,12 @@ N_c(vw) is a continuation count too, the distinct words before the bigram, and N
 sum over w: near copies repeat bigrams, and counted once a text they would outvote the rest.
 The first word of a text has P_c(w).
 
+The discount takes up to K counts from each class, so a bigram seen 12 times in one class
+and 8 in the other keeps counts in one only, and against the back-off weight of a rare word
+these few would outweigh any insult: passages that many texts quote begin with such bigrams.
+So its log ratio is held between the word's own and that of the whole counts with one added,
+(N_c(vw) + 1) / (N_c(v) + 1).
+
 A text is described by the difference of the two log-likelihoods, normalised by length,
 over the whole text and over its most toxic passage; both go through a logistic curve
 fitted on labelled texts that the counts have not seen.
@@ -207,9 +213,13 @@ def word_ratios(counts: DataFrame, discount: int = DISCOUNT) -> tuple[dict[bytes
     return dict(zip(words, ratio.tolist(), strict=True)), float(np.log(share["toxic"] / share["ordinary"]))
 
 
-def bigram_ratios(pairs: DataFrame, counts: DataFrame, model: Model, discount: int = DISCOUNT) -> Bigrams:
+def bigram_ratios(
+    pairs: DataFrame, counts: DataFrame, model: Model, discount: int = DISCOUNT, bounded: bool = False
+) -> Bigrams:
     """Log P_toxic(w | v) / P_ordinary(w | v) of bigrams seen after more than ``discount`` words in a class.
 
+    ``bounded`` holds them between the word's own ratio and that of the whole counts.
+
     ``counts`` are the words' continuation counts, ``model`` has the words' ratios. A first
     word without such a bigram hands on all it has in both classes, so only the others are
     needed. The counted texts bound the bigrams as they bound the words.
@@ -238,6 +248,10 @@ def bigram_ratios(pairs: DataFrame, counts: DataFrame, model: Model, discount: i
         c: np.maximum(rows[f"{c}_vw"] - discount, 0) / rows[f"{c}_v"].clip(lower=1) + kept[c] * below[c] for c in CLASSES
     }
     keys, found = v * (len(words) + 1) + w, np.log(given["toxic"] / given["ordinary"]).to_numpy()
+    if bounded:
+        share = {c: (rows[f"{c}_vw"] + 1) / (rows[f"{c}_v"] + 1) for c in CLASSES}
+        seen = np.log(share["toxic"] / share["ordinary"]).to_numpy()
+        found = np.clip(found, np.minimum(ratio, seen), np.maximum(ratio, seen))
     order = np.argsort(keys)
     handed = np.zeros(len(words) + 1)
     handed[v] = np.log(kept["toxic"] / kept["ordinary"])
@@ -277,7 +291,7 @@ def fit(
     model = Model(words, other, prior=share)
     if order > 1:
         pairs = stored(bigram_counts(rows.where(~curve_row)), "toxicity-bigrams")
-        model.bigrams = bigram_ratios(pairs, counts.where(~is_stem), model, discount)
+        model.bigrams = bigram_ratios(pairs, counts.where(~is_stem), model, discount, bounded=True)
     seen = with_differences(rows.where(curve_row), model, keep=["toxic"]).select("toxic", "difference", "peak").toPandas()
     if 0 < seen["toxic"].sum() < len(seen):
         model.weights = curve(seen[["difference", "peak"]].to_numpy(), seen["toxic"].to_numpy(), min(max(share, 0.01), 0.99))
